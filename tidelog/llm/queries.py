@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import contamination, packing, quality_rules, simhash, substrings
+from tidelog.llm import contamination, language_model, packing, quality_model, quality_rules, simhash, substrings
 from tidelog.llm.common import table
 
 
@@ -13,6 +13,15 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_model.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", quality_model.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
@@ -33,7 +42,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op5_packing, op6_simhash, op7_quality_rules, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op3_language_model, op4_quality_model, op5_packing, op6_simhash, op7_quality_rules, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
