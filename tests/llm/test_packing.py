@@ -57,8 +57,9 @@ def test_short_gaps_are_padded_instead_of_cut(spark, prose):
 
 def test_memory_of_chunks_does_not_change_ids(prose):
     small = packing.ChunkTokenizer(remembered=3)
-    got = [x for t in prose for x in small.encode([t or ""])]
-    assert [list(memoryview(g).cast("I")) for g in got] == [i[:-1] for i in ids_of(prose)]
+    texts = [*prose, "a~b ~ ~~ c", *(f"tok{k}" for k in range(200)), "It's 5. Then, O'Neil's... a,b .c E\u0301. <|EndOfText|> X", "<|endoftext|>. <|ENDOFTEXT|>, A", "I\u0307\u03a3. \u03a3a, \u00a0. b\u2003.\tc"]
+    got = [x for t in texts for x in small.encode([(t or "").encode()])]
+    assert [list(memoryview(g).cast("I")) for g in got] == [i[:-1] for i in ids_of(texts)]
 
 
 def test_same_ids_and_empty(spark):

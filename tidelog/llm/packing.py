@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,16 +23,21 @@ _TYPES = pa.schema([*((n, pa.int64()) for n in _NAMES[:7]), ("is_open", pa.bool_
 _LEFTOVERS = 1 << 62
 
 
+#: A full stop or comma between a letter or digit and white space is a token of its own.
+_STOP = re.compile(rb"(?<=[0-9A-Za-z])([.,])(?=[ \n])")
+
+
 class ChunkTokenizer:
-    """Ids of whole texts as little-endian uint32 bytes.
+    """Ids of whole UTF-8 texts as little-endian uint32 bytes.
 
-    The vocabulary's normaliser turns white space into breaks that no merge
-    crosses, so a text is cut at spaces and newlines and the ids of each chunk
-    are remembered.  The memory is bounded: two generations of ``remembered``
-    chunks, of which the older is dropped.
+    The vocabulary's normaliser lower-cases and turns white space into breaks that no merge
+    crosses. So a text, its A-Z lower-cased (unless it may name a special token), is cut at
+    spaces, newlines and before a word's full stop or comma, and the ids of each chunk are
+    remembered. The memory is bounded: two generations of ``remembered`` chunks, of which the
+    older is dropped.
     """
 
-    def __init__(self, path: str | None = None, remembered: int = 300_000):
+    def __init__(self, path: str | None = None, remembered: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -40,25 +46,42 @@ class ChunkTokenizer:
 
             path = public_tokenizers.path(VOCABULARY)
         self.tokenizer = Tokenizer.from_file(path)
-        self.remembered, self.young, self.old = remembered, {"": b""}, {}
+        (self.tilde,) = self.tokenizer.encode("~", add_special_tokens=False).ids
+        self.remembered, self.young, self.old = remembered, {b"": b""}, {}
 
-    def encode(self, batch: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in batch]
+    def encode(self, batch: list[bytes]) -> list[bytes]:
+        split = [_STOP.sub(rb" \1", t if b"<|" in t else t.lower()).replace(b"\n", b" ").split(b" ") for t in batch]
         if len(self.young) > self.remembered:
-            self.young, self.old = {"": b""}, self.young
+            self.young, self.old = {b"": b""}, self.young
         young, old = self.young, self.old
-        new = set(chain.from_iterable(split)).difference(young)
-        if old:
-            for c in new & old.keys():
-                young[c] = old[c]
-            new.difference_update(young)
-        unseen = list(new)
-        for at in range(0, len(unseen), 4096):
-            part = unseen[at : at + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                young[c] = array("I", e.ids).tobytes()
-        get = young.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        known = [list(map(young.get, s)) for s in split]
+        missed: set[bytes] = set()
+        for s, k in zip(split, known):
+            if None in k:
+                missed.update([c for c, x in zip(s, k) if x is None])
+        unseen = []
+        for c in missed:
+            if (x := old.get(c)) is None:
+                unseen.append(c)
+            else:
+                young[c] = x
+        self._learn([c for c in unseen if b"~" not in c], 64)
+        self._learn([c for c in unseen if b"~" in c], 1)
+        return [b"".join(map(young.__getitem__, s) if None in k else k) for s, k in zip(split, known)]
+
+
+    def _learn(self, chunks: list[bytes], together: int) -> None:
+        """Encode unseen chunks, several to a call: a tilde between them is always one token, which no chunk holds."""
+        groups = [chunks[at : at + together] for at in range(0, len(chunks), together)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([b" ~ ".join(g).decode() for g in groups], add_special_tokens=False)):
+            ids = array("I", e.ids)
+            flat = ids.tobytes()
+            at = 0
+            if len(group) > 1:
+                for c, end in zip(group, np.flatnonzero(np.frombuffer(ids, np.uint32) == self.tilde).tolist()):
+                    self.young[c] = flat[4 * at : 4 * end]
+                    at = end + 1
+            self.young[group[-1]] = flat[4 * at :]
 
 
 _TOKENIZERS: dict[str | None, ChunkTokenizer] = {}
@@ -145,7 +168,7 @@ def _pack_partition(path, capacity, open_windows, least_piece, end_id, with_ids)
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
                 closed = []
-                for doc, ids in zip(some.column(0).to_pylist(), coder.encode(some.column(1).to_pylist())):
+                for doc, ids in zip(some.column(0).to_pylist(), coder.encode(some.column(1).cast(pa.binary()).to_pylist())):
                     closed += packer.add(doc, ids + end)
                 if closed:
                     yield out(closed, False, seq)
