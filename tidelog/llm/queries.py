@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import contamination, html_text, language_model, packing, quality_model, quality_rules, simhash, substrings
+from tidelog.llm import contamination, html_text, language_model, line_dedup, packing, quality_model, quality_rules, simhash, substrings
 from tidelog.llm.common import table
 
 
@@ -40,13 +40,24 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op3_language_model, op4_quality_model, op5_packing, op6_simhash, op7_quality_rules, op8_html_text, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op3_language_model, op4_quality_model, op5_packing, op6_simhash, op7_quality_rules, op8_html_text, op9_line_dedup, op10_substring_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
