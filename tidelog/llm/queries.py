@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import contamination, html_text, language_model, line_dedup, packing, quality_model, quality_rules, simhash, substrings
+from tidelog.llm import contamination, html_text, language_model, line_dedup, packing, personal_data, quality_model, quality_rules, simhash, substrings
 from tidelog.llm.common import table
 
 
@@ -13,6 +13,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find(table(spark, sf_dir, "documents"))
+    counts = [personal_data.count("base", k).alias(f"n_{k}") for k in personal_data.BASE]
+    return found.select("doc_id", *counts, F.sha2(personal_data.written("base"), 256).alias("base_sha256"), personal_data.written("spans").alias("spans"))
+
+
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents"))
 
@@ -57,7 +63,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op3_language_model, op4_quality_model, op5_packing, op6_simhash, op7_quality_rules, op8_html_text, op9_line_dedup, op10_substring_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_decontamination, op2_personal_data, op3_language_model, op4_quality_model, op5_packing, op6_simhash, op7_quality_rules, op8_html_text, op9_line_dedup, op10_substring_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
