@@ -24,7 +24,8 @@ FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search
 FURNITURE_WORDS = frozenset((
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
     "popup modal overlay newsletter subscribe subscription signup sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead "
-    "share sharing social related recommended pagination pager toolbar widget login paywall disclaimer").split())
+    "share sharing social related recommended pagination pager toolbar widget login paywall disclaimer "
+    "adbox adslot adunit adwrap adblock cookiebar cookiebanner sidenav topnav subnav rightbar leftbar").split())
 COMMENT_WORDS = frozenset("comment comments disqus replies respond discussion".split())
 HEADER_WORDS = frozenset("header topbar".split())
 
