@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +36,49 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let the driver drop what is no longer referenced, and with it the shuffle files of plans that have been cut.
+
+    Spark's cleaner removes a shuffle once the driver has collected its last handle, which without
+    a nudge may take half an hour; the first round frees the plan, the second what hung on it.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
+
+
+class Scratch:
+    """Tables written, compressed, to the shared checkpoint folder for as long as the with block lasts."""
+
+    def __init__(self, spark: SparkSession):
+        shared_checkpoints(spark)
+        self.spark, self.path, self.n = spark, f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """df computed once, its lineage cut."""
+        self.n += 1
+        df.write.parquet(f"{self.path}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}")
+
+    def sweep(self, least: int = 1 << 20) -> None:
+        """sweep(), if what has been written (in bytes) says that the shuffles behind it are worth the wait."""
+        where, fs = self._where()
+        if fs.getContentSummary(where).getLength() >= least:
+            sweep(self.spark)
+
+    def _where(self):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def __exit__(self, *_) -> None:
+        where, fs = self._where()
+        fs.delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
