@@ -34,7 +34,7 @@ RULES = (
     Rule("duplicate_line_share", None, 0.6),
     Rule("bullet_line_share", None, 0.9),
     Rule("ellipsis_line_share", None, 0.3),
-    Rule("stop_words", 2, None),
+    Rule("stop_words", 1, None),
     Rule("distinct_word_share", 0.05, None),
 )
 
