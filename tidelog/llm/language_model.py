@@ -26,7 +26,7 @@ START = CLASSES
 #: Words whose counts are broadcast; the counts of all others are joined.
 COMMON = 200_000
 #: Words that a Python worker remembers besides.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 END = b""  # no word is empty
 
 
@@ -55,7 +55,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for t in batch.column(0).cast(pa.binary()).to_pylist():
             counts.update(tokens(t))
-            if len(counts) > 500_000:
+            if len(counts) > 300_000:
                 yield flush()
                 counts.clear()
     yield flush()
@@ -266,7 +266,7 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     single = [w for w, _ in common[:SINGLE]] or [END]
     shared = sc.broadcast((_key(common), common, single))
     blobs = training.select("text").mapInArrow(_count_classes(shared), "history long, counts binary")
-    class_counts = cut(blobs.repartition(8, "history").mapInArrow(_sum_blobs, "history long, counts binary")).coalesce(8)
+    class_counts = cut(blobs.repartition("history").mapInArrow(_sum_blobs, "history long, counts binary")).coalesce(8)
     weights = train(class_counts, n)
     norms = np.ones(CLASSES)
     group = F.xxhash64("right_bytes").bitwiseAND(ENDINGS - 1)
