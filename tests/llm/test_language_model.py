@@ -1,10 +1,12 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from tests.llm.conftest import make_docs
 from tidelog.llm import language_model as lm
@@ -80,3 +82,79 @@ def test_empty(spark):
     assert lm.score(make_docs(spark, ["a"]).limit(0)).collect() == []
     r = lm.score(make_docs(spark, ["a b", None], [None, None])).collect()
     assert [x.base_score for x in r] == [0.0, 0.0] and all(x.train_tokens == 0 and x.n_known == 0 and x.score < 0 for x in r)
+
+
+def test_hashed_model_against_brute_force(spark, prose):
+    ids = [*range(len(prose) - 1), None]
+    model, counts = lm.fit(make_docs(spark, prose, ids), hashed=True)
+    c = {bytes(r.word): r.c for r in counts.collect()}
+    single, m = {w: k for k, w in enumerate(model.single)}, model.hashed
+    assert m.weights.any()
+
+    def place(f, name):
+        return (((f ^ (name * 0x9E3779B97F4A7C15 % 2**64)) * 0xFF51AFD7ED558CCD) % 2**64) >> (64 - lm.WEIGHT_BITS)
+
+    def down(leaf, n, base, f, first):
+        out, node = 0.0, 1
+        while node < n:
+            right = leaf * 2 // n % 2 if node == 1 else (leaf >> (n.bit_length() - 1 - node.bit_length())) & 1
+            x = float(base[node]) + sum(float(m.weights[place(g, first + node)]) for g in f)
+            out -= math.log10(1 + math.exp(-x if right else x))
+            node = 2 * node + right
+        assert node == n + leaf
+        return out
+
+    rows = {r.doc_id: r.score for r in lm.score(make_docs(spark, prose, ids), hashed=True).collect()}
+    for i, t in list(zip(ids, prose))[::3]:
+        words = split(t)
+        if len(words) > 500:
+            continue
+        codes = [1, 1] + [xxhash.xxh64_intdigest(w, 42) for w in words]
+        f = lm.features(np.array(codes[2:], np.uint64))
+        a = b = lm.START
+        want = 0.0
+        for at, w in enumerate(words):
+            k, g = single.get(w, lm.SINGLE + lm._ending(w)), (codes[at + 2] >> 32) % lm.INNER
+            mine = [int(x) for x in f[:, at]]
+            want += down(k, lm.CLASSES, m.outer[a * lm.HISTORIES + b], mine, 0)
+            if w in single:
+                want += math.log10((c.get(w, 0) + 1) / model.norms[k])
+            else:
+                want += down(g, lm.INNER, m.inner[k - lm.SINGLE], mine, (1 + k) * lm.CLASSES)
+                want += math.log10((c.get(w, 0) + 1) / model.inner[k - lm.SINGLE, g])
+            a, b = k, a
+        assert rows[i] == pytest.approx(want, rel=1e-5, abs=1e-4)
+
+
+def test_hashed_model_is_a_distribution():
+    r = np.random.default_rng(3)
+    rows = lambda n, k: r.dirichlet(np.ones(k), n)
+    p, q = rows(lm.HISTORIES**2, lm.CLASSES), rows(lm.ENDINGS, lm.INNER)
+    f = lm.features(np.array([5, 6, 7], np.uint64))[:, 2:]
+    # every class, and every group of one class, after the same history
+    codes = np.arange(lm.INNER, dtype=np.uint64) << np.uint64(32)
+    for weights, exact in ((np.zeros(1 << lm.WEIGHT_BITS, np.float32), True), (r.normal(size=1 << lm.WEIGHT_BITS).astype(np.float32), False)):
+        m = lm.Hashed(lm.odds(p), lm.odds(q), weights)
+        for k in (lm.SINGLE, lm.CLASSES - 1):
+            one = 10 ** m.log10(np.full(lm.INNER, k), codes, np.full(lm.INNER, 9), np.repeat(f, lm.INNER, 1))
+            if exact:
+                assert one == pytest.approx(p[9, k] * q[k - lm.SINGLE], rel=1e-4)
+        total = sum((10 ** m.log10(np.full(lm.INNER, k), codes, np.full(lm.INNER, 9), np.repeat(f, lm.INNER, 1))).sum() / (lm.INNER if k < lm.SINGLE else 1) for k in range(lm.CLASSES))
+        assert total == pytest.approx(1)
+
+
+def test_real_words_before_count_in_both_factors(spark):
+    # all first words of a pair are of one class, and so are all second ones
+    r, texts = random.Random(4), []
+    filler = [f"w{k}" for k in range(70)]
+    for _ in range(150):
+        words = []
+        for _ in range(40):
+            pair = r.randrange(8)
+            words += [r.choice(filler), r.choice(filler), r.choice(filler), r.choice(filler), f"{pair}ing", f"{pair}ism"]
+        texts.append(" ".join(words))
+    texts = [" ".join(filler * 12) + " " + t for t in texts]
+    docs = make_docs(spark, texts)
+    classes_only = {x.doc_id: x.score for x in lm.score(docs).collect()}
+    held = [x for x in lm.score(docs, hashed=True).collect() if x.held_out]
+    assert held and all(x.score > classes_only[x.doc_id] + 10 for x in held)

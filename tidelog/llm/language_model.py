@@ -3,21 +3,27 @@
 p(w | h) = p(class of w | h) * (c(w) + 1) / R(class of w).  The commonest tokens are classes of
 their own; every other word's class is a hash of its ending. The class is predicted by a softmax
 over hashed features of the history: the token before (n-gram) and the one before that (skip).
+
+With hashed=True both factors depend on the real words before: a class's words fall into INNER
+groups by their hash, and p(w | h) = p(class | h) * p(group | class, h) * (c(w) + 1) / R(class, group).
+Both softmaxes are factored along binary trees. Hashes of the word before (n-gram), of the one before
+that (skip) and of both choose weights, in a table of 2^WEIGHT_BITS, that move the odds at each node.
 """
 
 from __future__ import annotations
 
+import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import cut, texts
+from tidelog.llm.common import cut, sweep, texts
 
 #: Classes: SINGLE common tokens, then ENDINGS hash values (a power of two). One more history stands for the text's start.
 SINGLE, ENDINGS = 64, 64
@@ -28,6 +34,14 @@ COMMON = 200_000
 #: Words that a Python worker remembers besides.
 REMEMBERED = 250_000
 END = b""  # no word is empty
+#: Weights over hashes of real words; groups in a class (a power of two); features of a history.
+WEIGHT_BITS, INNER, FEATURES = 22, 64, 3
+#: Passes over the training texts for them; turns that are added to what is seen and expected of each weight.
+PASSES, PRIOR = 2, 4.0
+#: Tokens looked at together at most (a text of more goes in pieces).
+PIECE = 8_000
+#: Weights travel in blocks of this many.
+BLOCK = 4096
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -46,6 +60,12 @@ def _ending(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word[-3:], 42) & (ENDINGS - 1)
 
 
+def _code(word: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(word, 42)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter[bytes] = Counter()
 
@@ -67,13 +87,13 @@ def count_tokens(training: DataFrame) -> DataFrame:
 
 
 class Lexicon(dict):
-    """Token to number; ``kind`` and ``log`` hold the class and log10(c + 1) of each number (nan: to be joined)."""
+    """Token to number; ``kind``, ``code`` and ``log`` hold the class, the hash and log10(c + 1) of each number (nan: to be joined)."""
 
     def __init__(self, common: list[tuple[bytes, int]], single: list[bytes]):
         super().__init__()
         self.single = {w: k for k, w in enumerate(single)}
         self.words: list[bytes] = []
-        self.kind, self.log = array("i"), array("d")
+        self.kind, self.code, self.log = array("i"), array("Q"), array("d")
         for w, c in common:
             self._add(w, np.log10(c + 1))
         self.base = len(self.words)
@@ -83,6 +103,7 @@ class Lexicon(dict):
         self.words.append(word)
         k = self.single.get(word)
         self.kind.append(SINGLE + _ending(word) if k is None else k)
+        self.code.append(_code(word))
         self.log.append(log)
         return n
 
@@ -93,12 +114,15 @@ class Lexicon(dict):
         if len(self.words) > self.base + REMEMBERED:
             for w in self.words[self.base :]:
                 del self[w]
-            del self.words[self.base :], self.kind[self.base :], self.log[self.base :]
+            del self.words[self.base :], self.kind[self.base :], self.code[self.base :], self.log[self.base :]
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
     def classes(self, numbers: np.ndarray) -> np.ndarray:
         return np.frombuffer(self.kind, np.int32)[numbers].astype(np.int64)
 
+    def codes(self, numbers: np.ndarray) -> np.ndarray:
+        return np.frombuffer(self.code, np.uint64)[numbers]
+
     def logs(self, numbers: np.ndarray) -> np.ndarray:
         return np.frombuffer(self.log, np.float64)[numbers]
 
@@ -120,6 +144,209 @@ def histories(classes: np.ndarray) -> np.ndarray:
     return before[1:-1] * HISTORIES + before[:-2]
 
 
+def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    x = (x ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (2**64 - 1))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def features(codes: np.ndarray) -> np.ndarray:
+    """FEATURES hashes of the history of each token of one text: the word before, the one before that, both."""
+    before = np.concatenate((np.array([1, 1], np.uint64), codes))
+    a, b = before[1:-1], before[:-2]
+    return np.stack((_mixed(a, 1), _mixed(b, 2), _mixed(a + _mixed(b, 3), 4)))
+
+
+def groups(codes: np.ndarray) -> np.ndarray:
+    """The group of each word in its class."""
+    return ((codes >> np.uint64(32)) & np.uint64(INNER - 1)).astype(np.int64)
+
+
+def odds(p: np.ndarray) -> np.ndarray:
+    """For rows of probabilities, the log odds of the right side at each node of a binary tree over them (node 1 is the root)."""
+    n = p.shape[1]
+    mass = np.concatenate([np.zeros_like(p), p], axis=1)
+    for node in range(n - 1, 0, -1):
+        mass[:, node] = mass[:, 2 * node] + mass[:, 2 * node + 1]
+    out = np.zeros(p.shape)
+    out[:, 1:] = np.log(mass[:, 3::2]) - np.log(mass[:, 2::2])
+    return out.astype(np.float32)
+
+
+def _path(leaf: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes from the root to each leaf of a tree over n, and whether it turns right there."""
+    down = np.arange(n.bit_length() - 1, 0, -1)
+    return (n + leaf[:, None]) >> down, ((leaf[:, None] >> (down - 1)) & 1).astype(bool)
+
+
+#: Names of nodes: those over the classes, then those over the groups of each class.
+_NODES = np.arange((1 + CLASSES) * CLASSES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+@dataclass(frozen=True)
+class Hashed:
+    """Both factors as products of two-way softmaxes along trees; a node's logit is its base and a weight of each feature.
+
+    The weight of a feature at a node is found by the hash of both in a table of 2^WEIGHT_BITS.
+    Without weights, classes have the odds of the class model, and groups those of their counts.
+    """
+
+    outer: np.ndarray  # histories x nodes over classes
+    inner: np.ndarray  # ending classes x nodes over groups
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(1 << WEIGHT_BITS, np.float32))
+
+    def turns(self, k: np.ndarray, codes: np.ndarray, history: np.ndarray, f: np.ndarray):
+        """The turns that lead to each token: places of their weights (features x turns), logits, whether right.
+
+        First those to its class, for all tokens; then, for those of ending classes, those to the group.
+        """
+        node, right = _path(k, CLASSES)
+        e = np.flatnonzero(k >= SINGLE)
+        below, turn = _path(groups(codes[e]), INNER)
+        logits = np.concatenate((self.outer[history[:, None], node].ravel(), self.inner[k[e, None] - SINGLE, below].ravel()))
+        named, within = _NODES[node], _NODES[below + (1 + k[e, None]) * CLASSES]
+        at = []
+        for row in f:
+            x = np.concatenate(((row[:, None] ^ named).ravel(), (row[e, None] ^ within).ravel()))
+            x *= np.uint64(0xFF51AFD7ED558CCD)
+            x >>= np.uint64(64 - WEIGHT_BITS)
+            at.append(x.view(np.int64))
+            logits += self.weights[at[-1]]
+        return at, logits, np.concatenate((right.ravel(), turn.ravel()))
+
+    def log10(self, k: np.ndarray, codes: np.ndarray, history: np.ndarray, f: np.ndarray) -> np.ndarray:
+        """log10 p(class, group | history) of each token; a single word's group is itself."""
+        _, x, right = self.turns(k, codes, history, f)
+        x = np.where(right, -x, x).astype(np.float64)
+        logs = -(np.maximum(x, 0) + np.log1p(np.exp(-np.abs(x)))) / np.log(10)
+        n = len(k) * (CLASSES.bit_length() - 1)
+        out = logs[:n].reshape(len(k), -1).sum(1)
+        out[k >= SINGLE] += logs[n:].reshape(-1, INNER.bit_length() - 1).sum(1)
+        return out
+
+
+def _streams(lexicon: Lexicon, texts: list[bytes]):
+    """Texts laid end to end, in pieces of PIECE tokens or a little more: classes, codes, histories, features."""
+    held, n = [], 0
+    for t in texts:
+        numbers = lexicon.numbers(tokens(t))
+        k, codes = lexicon.classes(numbers), lexicon.codes(numbers)
+        for a, h, f in _pieces(histories(k), features(codes)):
+            held.append((k[a : a + PIECE], codes[a : a + PIECE], h, f))
+            n += len(h)
+            if n > PIECE:
+                yield [np.concatenate(x, axis=-1) for x in zip(*held)]
+                held, n = [], 0
+    if held:
+        yield [np.concatenate(x, axis=-1) for x in zip(*held)]
+
+
+#: Turns and turns to the right share one number; a weight may have this many of each.
+_RIGHT = 1 << 26
+
+
+class Tally:
+    """Sums by weight over turns: those expected to the right; if observe is set, also those seen to go right, and all."""
+
+    def __init__(self, observe: bool):
+        # real: expected; imaginary: all turns + _RIGHT * turns to the right. One access of memory serves all three
+        self.packed, self.observe, self.turns = np.zeros(1 << WEIGHT_BITS, complex if observe else float), observe, 0
+
+    def add(self, hashed: Hashed, stream) -> None:
+        at, x, right = hashed.turns(*stream)
+        p = (1 / (1 + np.exp(-x))).astype(np.float64)
+        if self.observe:
+            p = p + 1j * (1 + right * float(_RIGHT))
+        for row in at:
+            np.add.at(self.packed, row, p)
+        self.turns += len(p) * FEATURES
+
+    def full(self) -> bool:
+        """Whether a weight may soon have too many turns to count."""
+        if not self.observe or self.turns < _RIGHT // 4:
+            return False
+        self.turns = 0
+        return any((x.imag % _RIGHT).max() > _RIGHT // 2 for x in self.packed.reshape(-1, BLOCK))
+
+    def blocks(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Numbers of blocks and their sums, as rows; each block is zero afterwards."""
+        for b, x in enumerate(self.packed.reshape(-1, BLOCK)):
+            if x.any():
+                if self.observe:
+                    right, turns = np.divmod(x.imag, _RIGHT)
+                    yield b, np.stack((x.real, right, turns))
+                else:
+                    yield b, x[None].copy()
+                x[:] = 0
+        self.turns = 0
+
+
+def _packed(blocks) -> Iterator[pa.RecordBatch]:
+    """Blocks, compressed: counts shrink much, and each task's are as large as the model."""
+    held = []
+    for b, x in blocks:
+        held.append((b, zlib.compress(x.astype(np.float32).tobytes(), 1)))
+        if len(held) == 200:
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in held], pa.int64()), pa.array([x for _, x in held], pa.binary())], names=["block", "sums"])
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in held], pa.int64()), pa.array([x for _, x in held], pa.binary())], names=["block", "sums"])
+
+
+def _moments(shared_lexicon, shared, observe: bool):
+    """The tally of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, hashed, found = _lexicon(shared_lexicon), Hashed(*shared.value), Tally(observe)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                for stream in _streams(lexicon, batch.column(0).slice(at, 500).cast(pa.binary()).to_pylist()):
+                    found.add(hashed, stream)
+                    if found.full():
+                        yield from _packed(found.blocks())
+        yield from _packed(found.blocks())
+
+    return run
+
+
+def _sum_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(b), np.float32).astype(float)
+    yield from _packed((k, total[k]) for k in sorted(total))
+
+
+def moved(weights: np.ndarray, expected: np.ndarray, seen: np.ndarray, turns: np.ndarray) -> np.ndarray:
+    """Weights a step up the gradient, which is seen - expected, with the scale of iterative scaling: a turn has FEATURES weights."""
+    right = np.log(seen + PRIOR) - np.log(expected + PRIOR)
+    left = np.log(turns - seen + PRIOR) - np.log(np.maximum(turns - expected, 0) + PRIOR)
+    return (weights + (right - left) / FEATURES).astype(np.float32)
+
+
+def train_hashed(training: DataFrame, shared_lexicon, outer: np.ndarray, inner: np.ndarray) -> Hashed:
+    """Weights over hashed features, by one gradient step after each of PASSES passes over all training texts.
+
+    A pass sends the weights out; the tasks' gradients are summed on the executors, in blocks. There
+    are no more tasks than cores, as each one's gradient is as large as the model.
+    """
+    sc = training.sparkSession.sparkContext
+    hashed, sums = Hashed(outer, inner), np.zeros((3, 1 << WEIGHT_BITS), np.float32)
+    for k in range(PASSES):
+        shared = sc.broadcast((hashed.outer, hashed.inner, hashed.weights))
+        parts = training.select("text").coalesce(sc.defaultParallelism).mapInArrow(_moments(shared_lexicon, shared, k == 0), "block long, sums binary")
+        got = parts.repartition("block").mapInArrow(_sum_moments, "block long, sums binary").toArrow()
+        shared.unpersist()
+        rows = sums[: 3 if k == 0 else 1]
+        rows[:] = 0
+        for b, x in zip(got.column(0).to_pylist(), got.column(1)):
+            rows[:, b * BLOCK : (b + 1) * BLOCK] = np.frombuffer(zlib.decompress(x.as_buffer()), np.float32).reshape(-1, BLOCK)
+        hashed = Hashed(outer, inner, moved(hashed.weights, *sums))
+        del parts, got
+        sweep(training.sparkSession)
+    return hashed
+
+
 def _count_classes(shared):
     """Dense class counts of each history met by the task; as large as the model at most."""
 
@@ -252,10 +479,15 @@ class Model:
     table: np.ndarray  # histories x classes, float32
     n_tokens: int
     n_words: int
+    hashed: Hashed | None = None
+    inner: np.ndarray | None = None  # R of each group of each ending class
 
 
-def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of the rows that are not held out, and their token counts (word, c), computed once."""
+def fit(docs: DataFrame, hashed: bool = False) -> tuple[Model, DataFrame]:
+    """The model of the rows that are not held out, and their token counts (word, c), computed once.
+
+    With hashed=True both factors also follow hashed features of the real words before.
+    """
     sc = docs.sparkSession.sparkContext
     training = texts(docs).where(~held_out())
     counts = cut(count_tokens(training))
@@ -278,7 +510,18 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
         if c:
             norms[SINGLE + _ending(w)] -= c + 1
     table = np.concatenate([weights.log_softmax(np.arange(a, min(a + 4096, HISTORIES**2))) for a in range(0, HISTORIES**2, 4096)])
-    return Model(common, single, norms, (table / np.log(10)).astype(np.float32), int(n), int(v)), counts
+    model = Model(common, single, norms, (table / np.log(10)).astype(np.float32), int(n), int(v))
+    if not hashed:
+        return model, counts
+    inner = np.ones((ENDINGS, INNER))
+    sub = F.shiftrightunsigned(F.xxhash64("word"), 32).bitwiseAND(INNER - 1)
+    for row in sized.groupBy(group.alias("g"), sub.alias("s")).agg(F.sum(F.col("c") + 1).alias("r")).collect():
+        inner[row.g, row.s] += row.r
+    for w, c in common[:SINGLE]:
+        if c:
+            inner[_ending(w), _code(w) >> 32 & (INNER - 1)] -= c + 1
+    start = odds(np.exp(table)), odds(inner / inner.sum(1, keepdims=True))
+    return replace(model, hashed=train_hashed(training, shared, *start), inner=inner), counts
 
 
 def _key(common) -> int:
@@ -290,6 +533,37 @@ def _key(common) -> int:
 _ROWS = pa.schema([("key", pa.int64()), ("word", pa.binary()), ("k", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("model", pa.float64())])
 
 
+def _parts(lexicon: Lexicon, table: np.ndarray, norms: np.ndarray, hashed: tuple | None, inner: np.ndarray | None):
+    """Texts to the numbers of their tokens and the part of their score that isn't the tokens' own counts."""
+    norms, flat = np.log10(norms), table.ravel()
+    if hashed is None:
+
+        def classes_only(texts):
+            for t in texts:
+                numbers = lexicon.numbers(tokens(t))
+                k = lexicon.classes(numbers)
+                yield numbers, flat[histories(k) * CLASSES + k].astype(np.float64).sum() - norms[k].sum()
+
+        return classes_only
+    model, inner = Hashed(*hashed), np.log10(inner)
+
+    def both(texts):
+        # a text's numbers hold until the lexicon forgets, which it does before it numbers another text
+        for t in texts:
+            numbers = lexicon.numbers(tokens(t))
+            k, codes = lexicon.classes(numbers), lexicon.codes(numbers)
+            e = k >= SINGLE
+            part = sum(model.log10(k[a : a + PIECE], codes[a : a + PIECE], h, f).sum() for a, h, f in _pieces(histories(k), features(codes)))
+            yield numbers, part - norms[k[~e]].sum() - inner[k[e] - SINGLE, groups(codes[e])].sum()
+
+    return both
+
+
+def _pieces(history: np.ndarray, f: np.ndarray):
+    for a in range(0, len(history), PIECE):
+        yield a, history[a : a + PIECE], f[:, a : a + PIECE]
+
+
 def _score(shared_lexicon, shared_table):
     """For each text a row with the sums over its common tokens, and one for each of its other words to be joined.
 
@@ -300,20 +574,16 @@ def _score(shared_lexicon, shared_table):
         from pyspark import TaskContext
 
         lexicon = _lexicon(shared_lexicon)
-        table, norms = shared_table.value
-        norms = np.log10(norms)
-        flat, key = table.ravel(), TaskContext.get().partitionId() << 40
+        parts, key = _parts(lexicon, *shared_table.value), TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
                 rows: list[list] = [[] for _ in _ROWS]
-                for d, t in zip(some.column(0).to_pylist(), some.column(1).cast(pa.binary()).to_pylist()):
-                    numbers = lexicon.numbers(tokens(t))
-                    k, logs = lexicon.classes(numbers), lexicon.logs(numbers)
+                for d, (numbers, part) in zip(some.column(0).to_pylist(), parts(some.column(1).cast(pa.binary()).to_pylist())):
+                    logs = lexicon.logs(numbers)
                     rare = np.isnan(logs)
                     n, m = len(numbers), int(rare.sum())
                     which, times = np.unique(numbers[rare], return_counts=True)
-                    part = flat[histories(k) * CLASSES + k].astype(np.float64).sum() - norms[k].sum()
                     new = ([key] * (1 + len(which)), [b" %d" % key, *(lexicon.words[i] for i in which.tolist())], [0, *times.tolist()],
                            [d, *[None] * len(which)], [n, *[None] * len(which)], [n - m, *[0] * len(which)], [logs[~rare].sum(), *[0.0] * len(which)], [part, *[0.0] * len(which)])
                     for r, x in zip(rows, new):
@@ -324,17 +594,19 @@ def _score(shared_lexicon, shared_table):
     return run
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, hashed: bool = False) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
     Null text is empty: its end is its only token. A null doc_id is held out. Without training
     rows every count is zero and the base of any text is log10 of one; the model's classes are
     then equally likely. Rows with the same id are scored one by one; extra columns are ignored.
+    With hashed=True the score is of the model with hashed features, else of its classes alone.
     """
     sc = docs.sparkSession.sparkContext
-    model, counts = fit(docs)
+    model, counts = fit(docs, hashed)
     lexicon = sc.broadcast((_key(model.common), model.common, model.single))
-    table = sc.broadcast((model.table, model.norms))
+    m = model.hashed
+    table = sc.broadcast((model.table, model.norms, m and (m.outer, m.inner, m.weights), model.inner))
     rows = texts(docs).mapInArrow(_score(lexicon, table), "key long, word binary, k long, doc_id long, n_tokens long, known long, logs double, model double")
     c = F.coalesce("c", F.lit(0))
     sums = rows.join(counts, "word", "left").groupBy("key").agg(

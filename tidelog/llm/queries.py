@@ -20,7 +20,7 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.score(table(spark, sf_dir, "documents"))
+    return language_model.score(table(spark, sf_dir, "documents"), hashed=True)
 
 
 def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
