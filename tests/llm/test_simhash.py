@@ -74,3 +74,11 @@ def test_drop(spark):
     assert kept.columns == df.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "7", "None"]
     assert simhash.drop_near_duplicates(df.limit(0)).collect() == []
+
+
+def test_drop_tells_rows_with_one_id_apart(spark):
+    copy, mine = (" ".join(f"{w}{k}" for k in range(300)) for w in ("copy", "mine"))
+    # 3 copies 1 and has a text of its own; 5 has two near texts; 8 is there three times
+    rows = [(1, copy), (3, copy), (3, mine), (5, "one near text here"), (5, "one near text HERE"), (8, "thrice the same row"), (8, "thrice the same row"), (8, "thrice the same row")]
+    kept = simhash.drop_near_duplicates(make_docs(spark, [t for _, t in rows], [i for i, _ in rows], extra=("doc", "hash", "n"))).collect()
+    assert sorted((r.doc_id, r.text.lower()) for r in kept) == sorted([(1, copy), (3, mine), (5, "one near text here"), (8, "thrice the same row")])

@@ -128,12 +128,36 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return rows.join(named.join(ids, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def _keyed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = next(_fingerprints(width)(iter([batch.select(["doc_id", "text"])])))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found.column(1)], names=["doc_id", "h", "fp"])
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """docs with one row of each near-duplicate group: the one with the smallest doc_id.
 
-    Keeps all columns. Rows with a null doc_id are kept, as they can't be told apart;
-    of rows with the same doc_id that represent a group, all are kept.
+    Keeps all columns. Rows are told apart by doc_id and text, so rows that share an id go or stay
+    one by one; of one id's texts in a group the one with the smallest hash stays, and of equal
+    rows any one. Rows with a null doc_id are kept, as they can't be told apart.
     """
-    gone, kept = spare(docs.columns, "gone"), near_duplicates(docs, width).where("doc_id <> component_id")
-    removed = kept.select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(removed, docs["doc_id"].cast("bigint") == removed[gone], "left_anti")
+    keyed = texts(docs).select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(lambda b: _keyed(b, width), "doc_id long, h long, fp long")
+    rows = cut(keyed.where("doc_id is not null").groupBy("doc_id", "h").agg(F.min("fp").alias("fp"), F.count("*").alias("n")))
+    first = F.min(F.struct("doc_id", "h")).alias("first")
+    distinct = cut(rows.groupBy("fp").agg(first))
+    parts = components(links(distinct.select("fp")))
+    named = distinct.join(parts, distinct.fp == parts.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    kept = named.join(named.groupBy("component").agg(F.min("first").alias("kept")), "component").select("fp", "kept")
+    doc, text = spare(docs.columns, "doc"), spare(docs.columns, "hash")
+    keys = rows.join(kept, "fp").select(F.col("doc_id").alias(doc), F.col("h").alias(text), (F.struct("doc_id", "h") != F.col("kept")).alias("gone"), "n")
+    here = [docs["doc_id"].cast("bigint"), F.xxhash64(F.coalesce(docs["text"], F.lit("")))]
+
+    def join(right: DataFrame, how: str) -> DataFrame:
+        return docs.join(right, (here[0] == right[doc]) & (here[1] == right[text]), how)
+
+    gone = keys.where("gone").select(doc, text)
+    if rows.where("n > 1").isEmpty():
+        return join(gone, "left_anti")
+    again = cut(keys.where("n > 1 and not gone").select(doc, text))
+    once = join(again, "inner").dropDuplicates([doc, text]).select(*(docs[c] for c in docs.columns))
+    return join(gone.unionByName(again), "left_anti").unionByName(once)
