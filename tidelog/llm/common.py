@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,16 +34,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def sweep(spark: SparkSession) -> None:
-    """Let the driver drop what is no longer referenced, and with it the shuffle files of plans that have been cut.
-
-    Spark's cleaner removes a shuffle once the driver has collected its last handle, which without
-    a nudge may take half an hour; the first round frees the plan, the second what hung on it.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
+#: Spark's own setting: the files of an execution's shuffles go when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Scratch:
@@ -59,17 +49,16 @@ class Scratch:
         return self
 
     def cut(self, df: DataFrame) -> DataFrame:
-        """df computed once, its lineage cut."""
+        """df computed once, its lineage cut and its shuffles' files removed."""
         self.n += 1
-        df.write.parquet(f"{self.path}/{self.n}")
+        before = self.spark.conf.get(_CLEAN)
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            df.write.parquet(f"{self.path}/{self.n}")
+        finally:
+            self.spark.conf.set(_CLEAN, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}")
 
-    def sweep(self, least: int = 1 << 20) -> None:
-        """sweep(), if what has been written (in bytes) says that the shuffles behind it are worth the wait."""
-        where, fs = self._where()
-        if fs.getContentSummary(where).getLength() >= least:
-            sweep(self.spark)
-
     def _where(self):
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
