@@ -59,8 +59,14 @@ class Scratch:
             self.spark.conf.set(_CLEAN, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}")
 
-    def _where(self):
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+    def drop(self, df: DataFrame) -> None:
+        """Delete a table that cut() returned."""
+        for at in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            where, fs = self._where(at)
+            fs.delete(where, True)
+
+    def _where(self, path: str | None = None):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path or self.path)
         return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def __exit__(self, *_) -> None:
