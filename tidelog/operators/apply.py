@@ -6,6 +6,7 @@ import re
 from functools import reduce
 
 import pandas as pd
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,21 @@ def keyed_apply(changes: DataFrame, keys: list[str], order: list[str] = ORDER, s
     return latest.where("not deleted").drop("deleted")
 
 
+def keyed_merge(changes: DataFrame, keys: list[str], state: DataFrame | None = None, order: list[str] = ORDER) -> DataFrame:
+    """A state that keeps each key's latest change with its order, deletes included: keys, values, deleted, order.
+
+    Applied again, or in any order of batches, changes lead to the same state. live() shows its rows.
+    """
+    rows = changes if state is None else changes.unionByName(state, allowMissingColumns=True)
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_l")).select(*keys, "_l.*")
+
+
+def live(state: DataFrame, order: list[str] = ORDER) -> DataFrame:
+    """The rows of keyed_merge() that are not deleted."""
+    return state.where("not deleted").drop("deleted", *order)
+
+
 def insert_only(changes: DataFrame, keys: list[str], order: list[str] = ORDER) -> DataFrame:
     """Duplicate inserts ignored: the first of each key stays."""
     values = [c for c in changes.columns if c not in (*keys, *order)]
@@ -77,90 +93,196 @@ def bag_apply(changes: DataFrame, group: list[str], order: list[str] = ORDER) ->
     return needed.groupBy(*group).applyInPandas(run, schema)
 
 
-_COMPARE = re.compile(r"""(?is)^\s*["`\[]?(\w+)["`\]]?\s*(=|<>|!=|<=|>=|<|>)\s*(\?|'(?:[^']|'')*'|-?[0-9.]+|NULL)\s*$""")
+# A statement's tokens: text, blob, quoted names, numbers, words, and single marks.
+_TOKEN = re.compile(r"""\s+|--[^\n]*|/\*.*?\*/|[xX]'[0-9a-fA-F]*'|'(?:[^']|'')*'|"(?:[^"]|"")*"|`[^`]*`|\[[^\]]*\]|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|[A-Za-z_][\w$]*|\|\||<>|!=|<=|>=|==|<<|>>|.""", re.S)
+#: What a replay can't repeat, as each run has another result, and what reads another table.
+_UNREPEATABLE = frozenset("RANDOM RAND RANDN UUID NOW CURRENT_TIMESTAMP CURRENT_DATE CURRENT_TIME SHUFFLE SELECT EXISTS".split())
+
+
+def _tokens(sql: str) -> list[str]:
+    return [t for t in _TOKEN.findall(sql.strip().rstrip(";")) if not t.isspace() and not t.startswith(("--", "/*"))]
+
+
+def _upto(tokens: list[str], stops: tuple[str, ...]) -> int:
+    """The place of the first of the words or marks outside parentheses, or the end."""
+    depth = 0
+    for k, t in enumerate(tokens):
+        if depth == 0 and t.upper() in stops:
+            return k
+        depth += (t == "(") - (t == ")")
+    return len(tokens)
+
+
+def _parts(tokens: list[str]) -> list[list[str]]:
+    """What commas outside parentheses part."""
+    out = []
+    while True:
+        k = _upto(tokens, (",",))
+        out.append(tokens[:k])
+        if k == len(tokens):
+            return out
+        tokens = tokens[k + 1 :]
+
+
+def _name(token: str) -> str:
+    return token[1:-1].replace('""', '"') if token[0] in '"`[' else token
+
+
+def _literal(value) -> str:
+    """A bound value as Spark's SQL writes it."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, (bytes, bytearray)):
+        return f"X'{bytes(value).hex()}'"
+    if isinstance(value, float):
+        return f"double('{value}')"
+    if isinstance(value, (bool, int)):
+        return f"({int(value)}{'L' if abs(int(value)) < 2**63 else ''})"
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _column(tokens: list[str], args: list):
+    """An expression that Spark's own parser reads, once parameters are bound and the dialect's quotes replaced; LIKE ignores case, as there."""
+    if not tokens:
+        raise ValueError("not supported: an empty expression")
+    out = []
+    for t in tokens:
+        if t == "?":
+            if not args:
+                raise ValueError("not supported: more parameters than values")
+            out.append(_literal(args.pop(0)))
+        elif t.upper() in _UNREPEATABLE:
+            raise ValueError(f"not supported: {t}")
+        elif t[0] == "'":
+            out.append(_literal(t[1:-1].replace("''", "'")))
+        elif t[0] in '"`[' and len(t) > 1:
+            out.append("`" + _name(t).replace("`", "``") + "`")
+        elif re.fullmatch(r"(?=.*[.eE])[\d.]+(?:[eE][+-]?\d+)?", t):
+            out.append(f"double('{t}')")
+        else:
+            out.append({"LIKE": "ILIKE", "IFNULL": "COALESCE"}.get(t.upper(), t))
+    return F.expr(" ".join(out))
+
+
+def _parsed(sql: str) -> dict:
+    """A statement's kind and its pieces as tokens; ValueError for shapes that can't be replayed from one table."""
+    t = _tokens(sql)
+    up = [x.upper() for x in t]
+    if up[:2] == ["INSERT", "INTO"] and len(t) > 3:
+        k = 3
+        while k + 1 < len(t) and t[k] == ".":  # a qualified name
+            k += 2
+        name, names = _name(t[k - 1]), None
+        if k < len(t) and t[k] == "(":
+            end = k + 1 + _upto(t[k + 1 :], (")",))
+            names, k = [_name(p[0]) for p in _parts(t[k + 1 : end])], end + 1
+        if k < len(t) and up[k] == "VALUES":
+            rows = _parts(t[k + 1 :])
+            if all(r and r[0] == "(" and r[-1] == ")" for r in rows):
+                return {"kind": "VALUES", "table": name, "names": names, "rows": [_parts(r[1:-1]) for r in rows]}
+        if k < len(t) and up[k] == "SELECT":
+            rest = t[k + 1 :]
+            source = _upto(rest, ("FROM",))
+            after = rest[source + 1 :]
+            where = _upto(after, ("WHERE",))
+            if where and all(x == "." or k % 2 == 0 for k, x in enumerate(after[:where])) and _name(after[where - 1]).upper() == name.upper():
+                return {"kind": "SELECT", "table": name, "names": names, "what": _parts(rest[:source]), "where": after[where + 1 :]}
+    if up[:1] == ["UPDATE"] and "SET" in up:
+        k = up.index("SET")
+        rest = t[k + 1 :]
+        where = _upto(rest, ("WHERE",))
+        sets = {}
+        for p in _parts(rest[:where]):
+            if len(p) < 3 or p[1] != "=":
+                raise ValueError(f"not supported: {sql!r}")
+            sets[_name(p[0]).lower()] = p[2:]
+        return {"kind": "UPDATE", "sets": sets, "where": rest[where + 1 :]}
+    if up[:2] == ["DELETE", "FROM"]:
+        where = _upto(t, ("WHERE",))
+        if where <= 3 + 2 * t[3:where].count("."):
+            return {"kind": "DELETE", "where": t[where + 1 :]}
+    raise ValueError(f"not supported: {sql!r}")
+
+
+def _into(columns: list[str], names: list[str] | None, n: int, sql: str) -> list[str]:
+    """The columns that n values go into; an error if there are others of them, or unknown ones."""
+    low = {c.lower(): c for c in columns}
+    into = [x.lower() for x in names] if names else list(low)
+    if unknown := [x for x in into if x not in low]:
+        raise ValueError(f"no such column {unknown[0]}: {sql!r}")
+    if len(into) != n:
+        raise ValueError(f"{n} values for {len(into)} columns: {sql!r}")
+    return [low[x] for x in into]
 
 
-def _bound(token: str, args: list):
-    if token == "?":
-        return F.lit(args.pop(0))
-    if token.upper() == "NULL":
-        return F.lit(None)
-    return F.lit(token[1:-1].replace("''", "'")) if token[0] == "'" else F.expr(token)
+def _checked(make, sql: str):
+    """make(), with what Spark can't read or resolve as a ValueError."""
+    try:
+        return make()
+    except (AnalysisException, ParseException) as e:
+        raise ValueError(f"not supported: {sql!r}: {str(e).splitlines()[0]}") from e
 
 
-def _expression(text: str, args: list):
-    """An assignment's right side: a literal, a parameter, a column, or column and number joined by + - * /."""
-    text = text.strip()
-    if re.fullmatch(r"\?|'(?:[^']|'')*'|-?[0-9.]+|(?i:NULL)", text):
-        return _bound(text, args)
-    if m := re.fullmatch(r"(\w+)\s*(?:([+\-*/|]{1,2})\s*(\?|'(?:[^']|'')*'|-?[0-9.]+|\w+))?", text):
-        left = F.col(m[1])
-        if not m[2]:
-            return left
-        right = _bound(m[3], args) if m[3] == "?" or m[3][0] in "'-0123456789" else F.col(m[3])
-        return {"+": left + right, "-": left - right, "*": left * right, "/": left / right, "||": F.concat(left, right)}[m[2]]
-    raise ValueError(f"not supported: {text!r}")
+def _inserted(state: DataFrame, p: dict, sql: str, args: list) -> DataFrame:
+    columns, types = state.columns, dict(state.dtypes)
 
+    def rows_of(values) -> list:
+        into = dict(zip(_into(columns, p["names"], len(values), sql), values))
+        return [into.get(c, F.lit(None)).try_cast(types[c]).alias(c) for c in columns]
 
-def _predicate(text: str | None, args: list):
-    out = F.lit(True)
-    for part in re.split(r"(?i)\s+AND\s+", text.strip().rstrip(";")) if text else ():
-        m = _COMPARE.match(part)
-        if not m:
-            raise ValueError(f"not supported: {part!r}")
-        value = _bound(m[3], args)
-        left = F.col(m[1])
-        test = {"=": left == value, "<>": left != value, "!=": left != value, "<": left < value, "<=": left <= value, ">": left > value, ">=": left >= value}[m[2]]
-        out = out & F.coalesce(test, F.lit(False))
-    return out
+    if p["kind"] == "SELECT":
+        what = [F.col(c) for c in columns] if p["what"] == [["*"]] else [_column(x, args) for x in p["what"]]
+        rows = state.where(_column(p["where"], args)) if p["where"] else state
+        return rows.select(*rows_of(what))
+    return state.sparkSession.range(1).select(F.inline(F.array(*(F.struct(*rows_of([_column(v, args) for v in r])) for r in p["rows"]))))
+
+
+def _updated(state: DataFrame, p: dict, sql: str, args: list) -> dict:
+    """The new value of each column that is set."""
+    types = {c.lower(): t for c, t in state.dtypes}
+    if unknown := [c for c in p["sets"] if c not in types]:
+        raise ValueError(f"no such column {unknown[0]}: {sql!r}")
+    return {c: _column(x, args).try_cast(types[c]) for c, x in p["sets"].items()}
 
 
 def statement_images(state: DataFrame, sql: str, args: list | None = None) -> DataFrame:
     """(op, before, after) for each row that a statement on this state affects; one event a row.
 
-    Shapes: INSERT with values, INSERT ... SELECT * FROM the same table, UPDATE and DELETE with
-    comparisons joined by AND. Others raise ValueError, for the caller to put aside.
+    Shapes: INSERT with rows of values, INSERT from a SELECT on the same table, UPDATE and DELETE
+    with any condition on one row that Spark's parser reads. Others, unknown columns, and another
+    number of values than columns raise ValueError, for the caller to put aside.
     """
-    args, columns = list(args or []), state.columns
-    row = F.struct(*columns)
-    none = F.lit(None).cast(state.select(row.alias("r")).schema["r"].dataType)
-    if m := re.match(r"(?is)\s*INSERT\s+INTO\s+\S+?\s*(?:\(([^)]*)\))?\s*VALUES\s*\((.*)\)\s*;?\s*$", sql):
-        names = [x.strip().strip('"`[]') for x in m[1].split(",")] if m[1] else columns
-        given = dict(zip((n.lower() for n in names), (_expression(v, args) for v in m[2].split(","))))
-        types = dict(state.dtypes)
-        one = state.sparkSession.range(1).select(*(given.get(c.lower(), F.lit(None)).cast(types[c]).alias(c) for c in columns))
-        return one.select(F.lit("INSERT").alias("op"), none.alias("before"), row.alias("after"))
-    if re.match(r"(?is)\s*INSERT\s+INTO\s+(\S+)\s+SELECT\s+\*\s+FROM\s+\1\s*;?\s*$", sql):
-        return state.select(F.lit("INSERT").alias("op"), none.alias("before"), row.alias("after"))
-    if m := re.match(r"(?is)\s*UPDATE\s+\S+\s+SET\s+(.*?)(?:\s+WHERE\s+(.*))?$", sql):
-        sets = {}
-        for part in m[1].rstrip(";").split(","):
-            name, _, value = part.partition("=")
-            sets[name.strip().strip('"`[]').lower()] = _expression(value, args)
-        types = dict(state.dtypes)
-        new = F.struct(*(sets.get(c.lower(), F.col(c)).cast(types[c]).alias(c) for c in columns))
-        return state.where(_predicate(m[2], args)).select(F.lit("UPDATE").alias("op"), row.alias("before"), new.alias("after"))
-    if m := re.match(r"(?is)\s*DELETE\s+FROM\s+\S+?(?:\s+WHERE\s+(.*))?;?\s*$", sql):
-        return state.where(_predicate(m[1], args)).select(F.lit("DELETE").alias("op"), row.alias("before"), none.alias("after"))
-    raise ValueError(f"not supported: {sql!r}")
+
+    def make() -> DataFrame:
+        given, p = list(args or []), _parsed(sql)
+        row = F.struct(*state.columns)
+        none = F.lit(None).cast(state.select(row.alias("r")).schema["r"].dataType)
+        if p["kind"] in ("VALUES", "SELECT"):
+            return _inserted(state, p, sql, given).select(F.lit("INSERT").alias("op"), none.alias("before"), row.alias("after"))
+        sets = _updated(state, p, sql, given) if p["kind"] == "UPDATE" else {}
+        rows = state.where(_column(p["where"], given)) if p["where"] else state
+        if p["kind"] == "DELETE":
+            return rows.select(F.lit("DELETE").alias("op"), row.alias("before"), none.alias("after"))
+        new = F.struct(*(sets.get(c.lower(), F.col(f"`{c}`")).alias(c) for c in state.columns))
+        return rows.select(F.lit("UPDATE").alias("op"), row.alias("before"), new.alias("after"))
+
+    return _checked(make, sql)
 
 
 def apply_statement(state: DataFrame, sql: str, args: list | None = None) -> DataFrame:
     """The state after one statement, its own predicate deciding which rows it meets."""
-    if re.match(r"(?is)\s*INSERT", sql):
-        return state.unionByName(statement_images(state, sql, args).select("after.*"))
-    args = list(args or [])
-    if m := re.match(r"(?is)\s*UPDATE\s+\S+\s+SET\s+(.*?)(?:\s+WHERE\s+(.*))?$", sql):
-        sets = {}
-        for part in m[1].rstrip(";").split(","):
-            name, _, value = part.partition("=")
-            sets[name.strip().strip('"`[]').lower()] = _expression(value, args)
-        met = _predicate(m[2], args)
-        types = dict(state.dtypes)
-        return state.select(*(F.when(met, sets[c.lower()].cast(types[c])).otherwise(F.col(c)).alias(c) if c.lower() in sets else F.col(c) for c in state.columns))
-    if m := re.match(r"(?is)\s*DELETE\s+FROM\s+\S+?(?:\s+WHERE\s+(.*))?;?\s*$", sql):
-        return state.where(~_predicate(m[1], args))
-    raise ValueError(f"not supported: {sql!r}")
+
+    def make() -> DataFrame:
+        given, p = list(args or []), _parsed(sql)
+        if p["kind"] in ("VALUES", "SELECT"):
+            return state.unionByName(_inserted(state, p, sql, given))
+        sets = _updated(state, p, sql, given) if p["kind"] == "UPDATE" else {}
+        met = F.coalesce(_column(p["where"], given).cast("boolean"), F.lit(False)) if p["where"] else F.lit(True)
+        if p["kind"] == "DELETE":
+            return state.where(~met)
+        return state.select(*(F.when(met, sets[c.lower()]).otherwise(F.col(f"`{c}`")).alias(c) if c.lower() in sets else F.col(f"`{c}`") for c in state.columns))
+
+    return _checked(make, sql)
 
 
 def apply_statements(state: DataFrame, statements: list[tuple[str, list]], cut_every: int = 20) -> DataFrame:

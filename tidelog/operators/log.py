@@ -58,8 +58,8 @@ def expand_sidecars(log: DataFrame, sidecars: DataFrame) -> DataFrame:
     rows have ordinal 0. A row whose sidecar is missing fails the query.
     """
     replay = F.trim("sql") == "REPLAY_TXN"
-    inner = sidecars.select(*COMMIT, F.col("change_number").alias("ordinal"), F.col("sql").alias("inner_sql"), *[c for c in sidecars.columns if c in ("args",)])
-    outer = log.where(replay).drop("sql", *[c for c in inner.columns if c == "args"])
+    inner = sidecars.select(*COMMIT, F.col("change_number").alias("ordinal"), F.col("sql").alias("inner_sql"), *[c for c in sidecars.columns if c in ("args", "arg_types")])
+    outer = log.where(replay).drop("sql", *[c for c in inner.columns if c in ("args", "arg_types")])
     joined = outer.join(inner, COMMIT, "left")
     joined = joined.withColumn("sql", F.when(F.col("inner_sql").isNull(), F.raise_error(F.concat(F.lit("no sidecar for commit "), F.col("commit_id").cast("string")))).otherwise(F.col("inner_sql")))
     body = joined.where(~is_control(F.col("sql"))).drop("inner_sql")
@@ -68,8 +68,8 @@ def expand_sidecars(log: DataFrame, sidecars: DataFrame) -> DataFrame:
 
 def decided_segments(log: DataFrame, sidecars: DataFrame | None = None) -> DataFrame:
     """Segments whose last transaction has an exact COMMIT or ROLLBACK, or a sidecar that is there; others wait."""
-    exact = F.col("sql").isin("COMMIT", "ROLLBACK")
-    by_commit = log.groupBy(*COMMIT).agg(F.max(exact.cast("int")).alias("exact"), F.max((F.col("sql") == "REPLAY_TXN").cast("int")).alias("replay"))
+    exact = F.trim("sql").isin("COMMIT", "ROLLBACK")
+    by_commit = log.groupBy(*COMMIT).agg(F.max(exact.cast("int")).alias("exact"), F.max((F.trim("sql") == "REPLAY_TXN").cast("int")).alias("replay"))
     last = by_commit.groupBy(*SEGMENT).agg(F.max_by(F.struct("exact", "replay", "commit_id"), "commit_id").alias("l")).select(*SEGMENT, "l.*")
     if sidecars is None:
         return last.where("exact = 1").select(*SEGMENT)
@@ -135,6 +135,17 @@ def resolve_in_doubt(sources: DataFrame, logs: DataFrame) -> DataFrame:
     return both.withColumn("action", action)
 
 
+def in_doubt_action(source_commit: int, log_commit: int, fate: str, device_type: str) -> str:
+    """resolve_in_doubt() for one device, as its restart needs it before any session is there; a log whose database never committed is undone too."""
+    if not source_commit or not log_commit:
+        return "none" if log_commit == 0 or fate != "Unknown" else "append ROLLBACK" if device_type == "SQLITE" else "remove commit"
+    if log_commit < source_commit or log_commit > source_commit and fate == "Commit" or log_commit == source_commit and fate == "Rollback":
+        return "error"
+    if fate != "Unknown":
+        return "none"
+    return "append COMMIT" if log_commit == source_commit else "append ROLLBACK" if device_type == "SQLITE" else "remove commit"
+
+
 def repair(log: DataFrame, actions: DataFrame) -> DataFrame:
     """The log after the actions of resolve_in_doubt(): markers appended, or an undone commit's rows removed."""
     todo = actions.select("device_id", F.col("log_commit").alias("commit_id"), "action").where("action <> 'none'")

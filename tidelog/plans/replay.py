@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions.rules import FilterRules, ValueMap
-from tidelog.functions.statements import table_name
 from tidelog.operators import log as L
 from tidelog.operators.apply import apply_statement, keyed_apply, statement_images
 from tidelog.plans.registry import Registry
 
 
+def target(sql: str) -> str:
+    """The unqualified name of the table that an INSERT, UPDATE or DELETE writes; empty if there is none."""
+    m = re.match(r"""(?is)\s*(?:INSERT\s+INTO|UPDATE|DELETE\s+FROM)\s+((?:[\w$]+|"[^"]+"|`[^`]+`|\[[^\]]+\])(?:\s*\.\s*(?:[\w$]+|"[^"]+"|`[^`]+`|\[[^\]]+\]))*)""", sql)
+    return re.split(r"\.(?=[^\"`\]]*$|[\"`\[])", m[1])[-1].strip().strip('"`[]') if m else ""
+
+
 @dataclass
 class Replica:
     """A small source's tables, kept as DataFrames while its statements are replayed in strict log order."""
@@ -44,8 +50,7 @@ class Replica:
                         self.tables[t] = self.tables[t].toDF(*(c.name for c in new))
                     self.tables[t] = self.registry.conform(self.tables[t], t)
             return None
-        name = self.spark.range(1).select(table_name(F.lit(sql)).alias("t")).first().t
-        key = (name or "").rsplit(".", 1)[-1].upper()
+        key = target(sql).upper()
         try:
             events = statement_images(self.tables[key], sql, args)
             self.tables[key] = apply_statement(self.tables[key], sql, args)

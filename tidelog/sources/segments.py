@@ -25,8 +25,7 @@ from tidelog.functions.session import ship_package
 NEW, READY, APPLIED = "NEW", "READY_TO_APPLY", "APPLIED"
 NAME = re.compile(r"^(\d+)\.(sqllog|cdclog)$")
 ARGUMENTS = 16
-SCHEMA = "device_id string, segment_seq bigint, status string, change_number bigint, commit_id bigint, op string, table_name string, sql string, arg_cnt int, args array<string>"
-CELL = "struct<tag:string,i:bigint,d:double,s:string,b:binary>"
+SCHEMA = "device_id string, segment_seq bigint, status string, change_number bigint, commit_id bigint, op string, table_name string, sql string, arg_cnt int, args array<string>, arg_types array<string>"
 
 
 def segment_seq(path: Column) -> Column:
@@ -58,6 +57,34 @@ def _text(value) -> str | None:
     return None if value is None else value.hex().upper() if isinstance(value, bytes) else str(value)
 
 
+def _type(value) -> str:
+    """An argument's storage class; its text alone doesn't tell a blob's hex from letters."""
+    return {type(None): "null", int: "integer", float: "real", bytes: "blob"}.get(type(value), "text")
+
+
+def argument(text: str | None, kind: str):
+    """An argument from its text and storage class."""
+    if text is None or kind == "null":
+        return None
+    return {"integer": int, "real": float, "blob": bytes.fromhex}.get(kind, str)(text)
+
+
+def arguments(row) -> list:
+    """The arguments of a row read from a segment, as they were logged."""
+    return [argument(a, k) for a, k in zip(row.args or [], row.arg_types or [])]
+
+
+def last_transaction(path: str) -> tuple[int, str]:
+    """The last commit id of a segment, 0 if it has none, and its fate."""
+    with _open(path) as c:
+        table = "cdclog" if path.endswith(".cdclog") else "commandlog"
+        rows = c.execute(f"select commit_id, sql from {table} order by change_number desc limit 1").fetchall()
+    if not rows:
+        return 0, "Unknown"
+    word = (rows[0][1] or "").strip().rstrip(";").upper()
+    return rows[0][0], {"COMMIT": "Commit", "ROLLBACK": "Rollback"}.get(word, "Unknown")
+
+
 def read_segment(device: str, path: str) -> Iterator[tuple]:
     """Rows of a segment in change order, of whichever kind its tables say it is."""
     state = status(path)
@@ -72,7 +99,7 @@ def read_segment(device: str, path: str) -> Iterator[tuple]:
         seq = int(NAME.match(os.path.basename(path))[1])
         for r in c.execute(f"select change_number, commit_id, {own}, sql, arg_cnt{''.join(', ' + a for a in arguments)} from {table} order by change_number"):
             n = r[5] or 0
-            yield (device, seq, state, r[0], r[1], r[2], r[3], r[4], n, [_text(v) for v in r[6 : 6 + n]])
+            yield (device, seq, state, r[0], r[1], r[2], r[3], r[4], n, [_text(v) for v in r[6 : 6 + n]], [_type(v) for v in r[6 : 6 + n]])
 
 
 class _File(InputPartition):
@@ -127,6 +154,24 @@ class SegmentWriter:
         self.table = "cdclog" if kind == "cdclog" else "commandlog"
         self.connection.executescript(f"create table {self.table}(change_number integer primary key, commit_id integer, {own}sql text, arg_cnt integer, {arguments}); create table metadata(key text primary key, value text); insert into metadata values('status', '{NEW}');")
 
+    @classmethod
+    def reopen(cls, path: str) -> SegmentWriter:
+        """Go on with a segment that was not finished."""
+        out = cls.__new__(cls)
+        out.path, out.kind = path, path.rsplit(".", 1)[1]
+        out.table = "cdclog" if out.kind == "cdclog" else "commandlog"
+        if status(path) != NEW:
+            raise ValueError(f"{path} is finished")
+        out.connection = sqlite3.connect(path)
+        out.next = out.connection.execute(f"select coalesce(max(change_number) + 1, 0) from {out.table}").fetchone()[0]
+        out.width = sum(bool(re.fullmatch(r"arg\d+", r[1])) for r in out.connection.execute(f"pragma table_info({out.table})"))
+        return out
+
+    def remove(self, commit_id: int) -> None:
+        """Take back a commit's rows, the last ones."""
+        self.connection.execute(f"delete from {self.table} where commit_id = ?", [commit_id])
+        self.next = self.connection.execute(f"select coalesce(max(change_number) + 1, 0) from {self.table}").fetchone()[0]
+
     def append(self, commit_id: int, sql: str | None, args: list = (), op: str | None = None, table: str | None = None) -> int:
         if self.connection is None:
             raise ValueError(f"{self.path} is finished")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidelog.operators import log as L
-from tidelog.operators.apply import keyed_apply
+from tidelog.operators.apply import keyed_merge, live
 from tidelog.sources.state import VersionedTable
 
 
@@ -17,9 +18,10 @@ class Consolidation:
     """A stream of changes folded into one table by key, exactly once for each batch.
 
     source is a folder of Parquet (device_id/segment_seq partitions or not) that grows by whole
-    segments; the query's checkpoint remembers what has been read, the table's version which
-    batches have been applied. Transactions never straddle a segment, so a batch can tell
-    committed rows by itself.
+    segments; the query's checkpoint remembers what has been read, the table which of its batches
+    have been applied. Transactions never straddle a segment, so a batch can tell committed rows by
+    itself. The state keeps the order of each key's latest change, and of deletes: segments may come
+    late, and a stream that begins anew on a fresh checkpoint finds the same rows again.
     """
 
     def __init__(self, spark: SparkSession, source: str, schema: str, keys: list[str], table: str, checkpoint: str,
@@ -28,16 +30,28 @@ class Consolidation:
         self.table, self.triggers, self.parity, self.files = VersionedTable(spark, table), triggers, parity, files_per_batch
         self.query: StreamingQuery | None = None
 
+    def _run(self) -> str:
+        """What tells this checkpoint from a later one in the same place."""
+        path = self.table._path(f"{self.checkpoint}/tidelog-run")
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            out = fs.create(path, False)
+            out.write(bytearray(uuid.uuid4().hex.encode()))
+            out.close()
+        return self.spark.read.text(path.toString()).first().value
+
     def _apply(self, batch: DataFrame, batch_id: int) -> None:
         good = L.committed(batch, self.parity).where("op is not null").drop("sql", "commit_id", "op")
-        state = self.table.read()
-        # a key's earlier order stays beside it, as segments of a device may come in any order within a batch only
-        now = keyed_apply(good, self.keys, state=state)
-        if self.table.write(now, batch_id):
+        if self.table.update(good, self.keys, lambda changes, state: keyed_merge(changes, self.keys, state), batch_id, self._run()):
             for t in self.triggers:
-                t(self.table.read())
+                t(self.read())
             self.table.prune()
 
+    def read(self) -> DataFrame | None:
+        """The live rows."""
+        state = self.table.read()
+        return None if state is None else live(state)
+
     def start(self, available_now: bool = True, interval: str = "2 seconds") -> StreamingQuery:
         reader = self.spark.readStream.schema(self.schema)
         if self.files:
@@ -50,7 +64,7 @@ class Consolidation:
     def drain(self) -> DataFrame | None:
         """Apply all that is there, then return the table."""
         self.start().awaitTermination()
-        return self.table.read()
+        return self.read()
 
     def pause(self) -> None:
         """Stop; the checkpoint keeps the place, and start() goes on from it."""
