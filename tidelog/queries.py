@@ -17,6 +17,7 @@ from tidelog.functions import statements as S
 from tidelog.functions import types as T
 from tidelog.operators import apply as A
 from tidelog.operators import control as C
+from tidelog.operators import joins as J
 from tidelog.operators import log as L
 from tidelog.operators import stats as G
 from tidelog.plans import registry as D
@@ -373,6 +374,45 @@ def bag_apply_small(spark, sf_dir):
     return A.bag_apply(rows, ["device_id"]).select("device_id", F.array_join("image", ",").alias("image"), "copies")
 
 
+@query(f"""{_LATEST} select device_id, id, kind, amount from r where rn = 1 and op <> 'DELETE'""")
+def keyed_merge_out_of_order(spark, sf_dir):
+    """Segments that come late, and come again: the state keeps its order, so that no older change overwrites a newer one."""
+    good = L.committed(logged(spark, sf_dir)).where("op is not null")
+    rows = good.select("device_id", "id", "segment_seq", "change_number", "kind", "amount", (F.col("op") == "DELETE").alias("deleted"))
+    state = None
+    for part in ("segment_seq % 3 = 2", "segment_seq % 3 = 0", "segment_seq % 3 = 1", "segment_seq % 3 = 0"):
+        state = A.keyed_merge(rows.where(part), ["device_id", "id"], state)
+    return A.live(state)
+
+
+@query(f"""with {BODY}, e as (select device_id, segment_seq, change_number, op, kind || ',' || floor(amount)::bigint as image from good where op <> 'UPDATE'
+ union all select device_id, segment_seq, change_number, 'DELETE', 'view,' || floor(amount)::bigint from good where op = 'UPDATE'),
+d as (select device_id, image, max((segment_seq, change_number)) as last from e where op = 'DELETE' group by all)
+select e.device_id, e.image, count(*) as copies from e left join d using (device_id, image) where op = 'INSERT' and (last is null or (e.segment_seq, e.change_number) > last) group by all""")
+def bag_apply_inserts_deletes(spark, sf_dir):
+    """Images without a key where none is updated: what was inserted after an image's last delete stays."""
+    good = L.committed(logged(spark, sf_dir)).where("op is not null")
+    gone = F.when(F.col("op") == "UPDATE", "view").otherwise(F.col("kind"))
+    image = F.array(gone, F.floor("amount").cast("string"))
+    rows = good.select("device_id", "segment_seq", "change_number", F.when(F.col("op") == "INSERT", "INSERT").otherwise("DELETE").alias("op"), F.when(F.col("op") != "INSERT", image).alias("before"), F.when(F.col("op") == "INSERT", image).alias("after"))
+    return A.bag_apply(rows, ["device_id"]).select("device_id", F.array_join("image", ",").alias("image"), "copies")
+
+
+@query("""select c_custkey, case when c_nationkey in (1, 2, 3) or c_mktsegment ilike 'auto%' then upper(c_name) || ', it''s' else c_name end as c_name,
+ case when c_acctbal between -100 and 1000 and not (c_nationkey = 7 or c_nationkey is null) then abs(c_acctbal) * 2 + 1 else c_acctbal end as c_acctbal from customer
+ where not (c_custkey % 10 = 4 and (c_acctbal > 9000 or c_mktsegment = 'BUILDING')) union all select * from (values (-1, 'a, b; WHERE c', 0.5::double), (-2, null, null))""")
+def predicate_apply_conditions(spark, sf_dir):
+    """OR, IN, BETWEEN, LIKE, IS NULL, functions, commas and key words in literals, several rows of values."""
+    rows = read(spark, sf_dir, "customer")
+    done = A.apply_statements(rows, [
+        ("DELETE FROM customer WHERE c_custkey % 10 = ? AND (c_acctbal > 9000 OR c_mktsegment = 'BUILDING')", [4]),
+        ("UPDATE customer SET c_name = upper(\"c_name\") || ', it''s' WHERE c_nationkey IN (1, ?, 3) OR c_mktsegment LIKE 'auto%'", [2]),
+        ("UPDATE customer SET c_acctbal = abs(c_acctbal) * 2 + 1 WHERE c_acctbal BETWEEN ? AND 1000 AND NOT (c_nationkey = 7 OR c_nationkey IS NULL)", [-100]),
+        ("INSERT INTO customer(c_custkey, c_name, c_acctbal) VALUES (-1, 'a, b; WHERE c', ?), (-2, NULL, NULL)", [0.5]),
+    ])
+    return done.select("c_custkey", "c_name", "c_acctbal")
+
+
 @query("select c_custkey, c_name, case when c_mktsegment = 'BUILDING' and c_acctbal < 0 then c_acctbal + 100 else c_acctbal end as c_acctbal from customer where not (c_nationkey = 3 and c_acctbal > 5000)")
 def predicate_apply(spark, sf_dir):
     rows = read(spark, sf_dir, "customer")
@@ -434,11 +474,13 @@ def min_watermark(spark, sf_dir):
     return C.cleanup_target(A.fan_in(parts))
 
 
-@query("""with s as (select 'dev' || (o_custkey % 4) as device_id, o_orderkey // 100 as segment_seq from orders where o_orderkey % 100 > 40 group by all),
-f as (select device_id, segment_seq, segment_seq - row_number() over (partition by device_id order by segment_seq) as g from s) select device_id, max(segment_seq) as watermark from f where g = -1 group by device_id""")
+@query("""with s as (select 'dev' || (o_custkey % 4) as device_id, o_orderkey // 100 as segment_seq, count(*) filter (where o_orderpriority = '1-URGENT') > 0 as applied from orders group by all),
+f as (select device_id, segment_seq, segment_seq - row_number() over (partition by device_id order by segment_seq) as g from s where applied) select device_id, max(segment_seq) as watermark from f where g = -1 group by device_id""")
 def cleanup_frontier(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").where("o_orderkey % 100 > 40")
-    return C.cleaned_watermark(o.select(F.concat(F.lit("dev"), (F.col("o_custkey") % 4).cast("string")).alias("device_id"), F.floor(F.col("o_orderkey") / 100).alias("segment_seq")))
+    """A segment counts as applied if it has an urgent order; what has not been applied holds the frontier back."""
+    o = read(spark, sf_dir, "orders").select(F.concat(F.lit("dev"), (F.col("o_custkey") % 4).cast("string")).alias("device_id"), F.floor(F.col("o_orderkey") / 100).alias("segment_seq"), "o_orderpriority")
+    segments = o.groupBy("device_id", "segment_seq").agg((F.count_if(F.col("o_orderpriority") == "1-URGENT") > 0).alias("applied"))
+    return C.cleaned_watermark(segments.where("applied").drop("applied"))
 
 
 @query("""with s as (select 'dev' || (c_custkey % 4) as device_id, c_custkey // 4 as segment_seq, case when c_custkey > 300 and c_nationkey = 7 then 'NEW' else 'READY_TO_APPLY' end as status from customer),
@@ -475,18 +517,17 @@ def table_statistics(spark, sf_dir):
     return G.table_statistics(marked(L.carry_forward(bodies(spark, sf_dir))), by=["device_id"])
 
 
-@query(f"""with {BODY}, s as (select device_id, segment_seq, count(*) filter (where op <> 'DELETE') as operations, (sum(id) + 100)::bigint as bytes from body where id % 3 = 0 or segment_seq % 2 = 0 group by all)
+@query(f"""with {BODY}, s as (select device_id, segment_seq, count(*) filter (where op <> 'DELETE') as operations, (sum(id) + 100)::bigint as bytes from body group by all)
 select device_id, sum(operations)::bigint as operations, count(*) filter (where operations > 0) as transactions, sum(bytes)::bigint as bytes from s group by device_id""")
 def device_statistics(spark, sf_dir):
     return G.device_statistics(_segments(spark, sf_dir))
 
 
 def _segments(spark, sf_dir):
-    rows = bodies(spark, sf_dir).where("id % 3 = 0 or segment_seq % 2 = 0")
-    return rows.groupBy("device_id", "segment_seq").agg(F.count_if(F.col("op") != "DELETE").alias("operations"), (F.sum("id") + 100).alias("bytes"))
+    return bodies(spark, sf_dir).groupBy("device_id", "segment_seq").agg(F.count_if(F.col("op") != "DELETE").alias("operations"), (F.sum("id") + 100).alias("bytes"))
 
 
-@query(f"""with {BODY}, s as (select device_id, segment_seq, count(*) filter (where op <> 'DELETE') as operations, (sum(id) + 100)::bigint as bytes from body where id % 3 = 0 or segment_seq % 2 = 0 group by all)
+@query(f"""with {BODY}, s as (select device_id, segment_seq, count(*) filter (where op <> 'DELETE') as operations, (sum(id) + 100)::bigint as bytes from body group by all)
 select device_id, segment_seq, (sum(operations) over w)::bigint as total_operations, (sum(bytes) over w)::bigint as total_bytes, count(*) over w as total_segments from s window w as (partition by device_id order by segment_seq)""")
 def dashboard_totals(spark, sf_dir):
     return G.dashboard(_segments(spark, sf_dir)).drop("operations", "bytes")
@@ -498,12 +539,15 @@ def device_status(spark, sf_dir):
     return G.device_status(e)
 
 
-@query(f"""with {BODY}, s as (select 'dev' || (user_id % 5) as device_id, max(event_id // 5) as source_commit from events group by all), a as (select device_id, max(commit_id) as applied_commit from good where segment_seq < 15 group by all)
+@query(f"""with {BODY}, s as (select 'dev' || (user_id % 5) as device_id, max(event_id // 5) as source_commit from events group by all), u as (select device_id, max(segment_seq) * 3 // 4 as upto from good group by all), a as (select device_id, max(commit_id) as applied_commit from good join u using (device_id) where segment_seq <= upto group by all)
 select device_id, source_commit, applied_commit, case when applied_commit is null then -1 else greatest(source_commit - applied_commit, 0) end as latency_ms from s left join a using (device_id)""")
 def sync_latency(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     source = e.groupBy(F.concat(F.lit("dev"), (F.col("user_id") % 5).cast("string")).alias("device_id")).agg(F.max(F.floor(F.col("event_id") / 5)).alias("source_commit"))
-    done = L.committed(logged(spark, sf_dir)).where("op is not null and segment_seq < 15").groupBy("device_id").agg(F.max("commit_id").alias("applied_commit"))
+    # each device's checkpoint: three quarters of its log
+    good = L.committed(logged(spark, sf_dir)).where("op is not null").select("device_id", "segment_seq", "commit_id")
+    upto = good.groupBy("device_id").agg(F.floor(F.max("segment_seq") * 3 / 4).alias("upto"))
+    done = good.join(F.broadcast(upto), "device_id").where("segment_seq <= upto").groupBy("device_id").agg(F.max("commit_id").alias("applied_commit"))
     return G.sync_latency(source, done)
 
 
@@ -554,6 +598,55 @@ def top_users(spark, sf_dir):
     return n.withColumn("rank", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("n"), "user_id")).cast("long")).where("rank <= 3").select("user_id", "event_type", "n", "rank")
 
 
+@query("""with l as (select event_id, user_id, epoch_us(ts) as at from events where event_type = 'purchase'), r as (select user_id, epoch_us(ts) as at, max(value) as viewed from events where event_type = 'view' group by all)
+select l.event_id, l.user_id, r.viewed from l asof left join r on l.user_id = r.user_id and l.at >= r.at""")
+def last_view_before_purchase(spark, sf_dir):
+    """An as-of join: each purchase with the latest view of its user."""
+    e = read(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    left = e.where("event_type = 'purchase'").select("event_id", "user_id", "at")
+    right = e.where("event_type = 'view'").select("user_id", "at", F.col("value").alias("viewed"))
+    return J.as_of_join(left, right, ["user_id"], "at", ["viewed"]).drop("at")
+
+
+@query("""with r as (select n_nationkey, n_nationkey * 400.0::double - 1000 as low, n_nationkey * 400.0::double - 100 as high from nation)
+select n_nationkey, count(*) as customers, round(sum(c_acctbal), 2) as balance from customer join r on c_acctbal >= low and c_acctbal < high group by all""")
+def customers_by_balance_range(spark, sf_dir):
+    """A range join: customers in each of overlapping bands of balance."""
+    n = F.col("n_nationkey") * 400.0
+    bands = read(spark, sf_dir, "nation").select("n_nationkey", (n - 1000).alias("low"), (n - 100).alias("high"))
+    met = J.range_join(read(spark, sf_dir, "customer").select("c_acctbal"), bands, "c_acctbal", "low", "high", 900.0)
+    return met.groupBy("n_nationkey").agg(F.count("*").alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+@query("""select l_returnflag, l_linestatus, grouping(l_returnflag) as no_flag, count(*) as n, round(sum(l_quantity), 2) as quantity from lineitem group by rollup(l_returnflag, l_linestatus)""")
+def quantity_rollup(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus")
+    return rows.agg(F.grouping("l_returnflag").cast("long").alias("no_flag"), F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query("""select c_mktsegment, c_nationkey, count(*) as n, round(avg(c_acctbal), 4) as average from customer group by cube(c_mktsegment, c_nationkey)""")
+def customer_cube(spark, sf_dir):
+    return read(spark, sf_dir, "customer").cube("c_mktsegment", "c_nationkey").agg(F.count("*").alias("n"), F.round(F.avg("c_acctbal"), 4).alias("average"))
+
+
+@query("""select o_orderstatus, o_orderpriority, count(*) as n from orders group by grouping sets ((o_orderstatus), (o_orderpriority), ())""")
+def order_grouping_sets(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders")
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    return rows.groupingSets([[status], [priority], []], status, priority).agg(F.count("*").alias("n"))
+
+
+@query("""select 'both' as part, c_nationkey as nation from (select c_nationkey from customer where c_acctbal > 9000 intersect select s_nationkey from supplier where s_acctbal > 5000)
+union all select 'customers only', c_nationkey from (select c_nationkey from customer where c_acctbal > 9000 except select s_nationkey from supplier where s_acctbal > 5000)
+union all select 'all', c_nationkey from (select c_nationkey from customer where c_acctbal > 9000 except all select s_nationkey from supplier)""")
+def nation_sets(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("nation"))
+    s = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), "s_acctbal")
+    rich = s.where("s_acctbal > 5000").select("nation")
+    parts = {"both": c.intersect(rich), "customers only": c.subtract(rich), "all": c.exceptAll(s.select("nation"))}
+    return A.fan_in([p.select(F.lit(n).alias("part"), "nation") for n, p in parts.items()])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
