@@ -58,6 +58,27 @@ def test_links_lose_nothing(spark, cell):
     assert {n: got.get(n, n) for n in signed} == want
 
 
+def test_pivots_find_and_discard(spark):
+    """Cells hold every linked pair; the table discards most others, and no linked one, before any is verified."""
+    r = random.Random(8)
+    fps = {r.getrandbits(64) for _ in range(1500)}
+    for f in list(fps)[:300]:
+        for _ in range(3):
+            g = f
+            for _ in range(r.choice([1, 2, 2, 4, 6, 8])):
+                g ^= 1 << r.randrange(64)
+            fps.add(g)
+    df = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
+    found = simhash.candidates(df.select("fp", simhash._cells().alias("cell")))
+    rows = found.select("u", "v", simhash.discarded("du", "dv").alias("gone")).distinct().collect()
+    apart = lambda x: ((x.u ^ x.v) % 2**64).bit_count()
+    every = sorted(fps)
+    linked = {(max(map(simhash._signed, p)), min(map(simhash._signed, p))) for k, x in enumerate(every) for p in ((x, y) for y in every[k + 1 :] if (x ^ y).bit_count() <= 2)}
+    assert linked <= {(x.u, x.v) for x in rows} and not any(x.gone for x in rows if apart(x) <= 2)
+    others = [x for x in rows if apart(x) > 2]
+    assert len(linked) > 100 and len(others) > 50 and sum(x.gone for x in others) > 0.9 * sum(apart(x) > 4 for x in others) > 0
+
+
 def test_components_of_awkward_graphs(spark):
     path = [(i, i + 1) for i in range(60)]
     star = [(100, 100 + i) for i in range(1, 30)]

@@ -1,4 +1,12 @@
-"""SimHash near-duplicates, joined exactly with pivot distance tables."""
+"""SimHash near-duplicates, joined exactly with pivot distance tables.
+
+A fingerprint's row of the table has its Hamming distances to many reference fingerprints. No
+coordinate of two linked rows differs by more than the bits in which they do. BLOCKS references
+are the first one with two bits flipped, each in a place of its own: a difference in two bits
+changes at most two of their coordinates (less the first's), so that of six groups of coordinates
+four agree, and these are the cells in which pairs are sought. The other references lie anywhere;
+pairs whose rows differ by more than two in any of them are discarded, and survivors are verified.
+"""
 
 from __future__ import annotations
 
@@ -15,10 +23,14 @@ from tidelog.llm.common import cut, spare, texts
 from tidelog.llm.components import components
 
 SEED = 42
-#: Two differing bits touch at most two of four segments: any linked pair agrees on two whole segments.
-SEGMENTS, SEGMENT_BITS, MAX_BITS = 4, 16, 2
+#: Bits in which linked fingerprints may differ.
+MAX_BITS = 2
+#: References that differ from the first in two bits each; the groups in which their coordinates are compared.
+BLOCKS, GROUPS = 32, 6
+#: Other references.
+SCATTERED = 24
 #: A cell of at most this many distinct fingerprints is joined pair by pair; a larger one through its one-bit neighbours.
-CELL = 64
+CELL = 128
 
 _BYTE = (np.arange(8) * 256).astype(np.uint16)
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -70,40 +82,56 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
+def _distance(p: int):
+    return F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(p)).cast("bigint")))
+
+
 def _distances(n: int):
-    """The row of the pivot table of a fingerprint: its Hamming distances to n references, a byte each."""
-    return F.array(*(F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(p)))).cast("tinyint") for p in pivots(n)))
+    """The part of a row of the pivot table that belongs to the scattered references, a byte each."""
+    return F.array(*(_distance(p).cast("tinyint") for p in pivots(n + 1)[1:]))
 
 
 def _cells():
-    """For each pair of segments, the bits of the other two masked away: the cells that a linked pair may share."""
-    masks = []
-    for pair in combinations(range(SEGMENTS), SEGMENTS - MAX_BITS):
-        masks.append(_signed(sum(((1 << SEGMENT_BITS) - 1) << (SEGMENT_BITS * s) for s in pair)))
-    return F.explode(F.array(*(F.struct(F.lit(k).cast("tinyint").alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(masks))))
+    """The cells that a linked pair may share: for each choice of GROUPS - MAX_BITS groups of coordinates, what these are.
+
+    The distance to a reference with a block of two bits flipped is that to the first, plus two,
+    less twice the bits of the block that differ from the first's.
+    """
+    base = pivots(1)[0]
+    first = _distance(base)
+    coordinates = [F.shiftright(first + 2 - _distance(base ^ (3 << (2 * j))), 1) for j in range(BLOCKS)]
+    groups = [reduce(lambda n, c: n * 3 + c, coordinates[g::GROUPS]).cast("bigint") for g in range(GROUPS)]
+    cells = []
+    for k, chosen in enumerate(combinations(range(GROUPS), GROUPS - MAX_BITS)):
+        cells.append(reduce(lambda n, g: F.shiftleft(n, 10).bitwiseOR(groups[g]), chosen, F.lit(k).cast("bigint")))
+    return F.explode(F.array(*cells))
+
+
+def discarded(x: str, y: str, n: int = SCATTERED):
+    """Whether the greatest difference of the coordinates of two rows says that they can't be linked."""
+    return F.greatest(*(F.abs(F.get(x, F.lit(i)) - F.get(y, F.lit(i))) for i in range(n))) > MAX_BITS
+
+
+def candidates(cells: DataFrame, n_pivots: int = SCATTERED) -> DataFrame:
+    """(u, v, du, dv) of all pairs u > v of a cell, with their rows of the table."""
+    rows = cells.withColumn("d", _distances(n_pivots))
+    a, b = (rows.select("cell", F.col("fp").alias(v), F.col("d").alias(f"d{v}")) for v in "uv")
+    return a.join(b, "cell").where("u > v").drop("cell")
 
 
-def links(distinct: DataFrame, n_pivots: int = 24, cell: int = CELL) -> DataFrame:
+def links(distinct: DataFrame, n_pivots: int = SCATTERED, cell: int = CELL) -> DataFrame:
     """Edges (u, v) over distinct fingerprints (fp) that connect exactly those with at most two differing bits.
 
-    Small cells: all pairs of a cell, of which those whose rows of the pivot table differ by more
-    than two in any coordinate are discarded (the triangle inequality), and survivors are verified.
-    Large cells: each fingerprint meets its neighbours at their common one-bit variants, and is
-    linked to the smallest there: fingerprints sharing a variant differ by two bits at most, and
-    any that do share one. So no group is ever expanded into its pairs, and no link is lost.
+    Small cells: all pairs of a cell, less those that the pivot table discards; survivors are
+    verified. Large cells: each fingerprint meets its neighbours at their common one-bit variants,
+    and is linked to the smallest there: fingerprints sharing a variant differ by two bits at most,
+    and any that do share one. So no group is ever expanded into its pairs, and no link is lost.
     """
-    keyed = distinct.select("fp", _cells().alias("c")).select("fp", "c.k", "c.cell")
-    sizes = keyed.groupBy("k", "cell").agg(F.count("*").alias("n")).where("n > 1")
-    live = cut(keyed.join(sizes, ["k", "cell"]))
-    rows = live.where(F.col("n") <= cell).withColumn("d", _distances(n_pivots))
-    a, b = rows.alias("a"), rows.alias("b")
-    near = reduce(lambda x, y: x & y, (F.abs(F.col("a.d")[i] - F.col("b.d")[i]) <= MAX_BITS for i in range(n_pivots)))
-    pairs = (
-        a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") > F.col("b.fp")))
-        .where(near)
-        .where(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= MAX_BITS)
-        .select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
-    )
+    keyed = distinct.select("fp", _cells().alias("cell"))
+    sizes = keyed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    live = cut(keyed.join(sizes, "cell"))
+    near = candidates(live.where(F.col("n") <= cell).select("cell", "fp"), n_pivots).where(~discarded("du", "dv", n_pivots)).select("u", "v").distinct()
+    pairs = near.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS)
     crowd = live.where(F.col("n") > cell).select("fp").distinct()
     flips = F.array(F.lit(0).cast("bigint"), *(F.lit(_signed(1 << i)).cast("bigint") for i in range(64)))
     variants = crowd.withColumn("flip", F.explode(flips)).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
