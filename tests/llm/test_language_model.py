@@ -91,14 +91,14 @@ def test_hashed_model_against_brute_force(spark, prose):
     single, m = {w: k for k, w in enumerate(model.single)}, model.hashed
     assert m.weights.any()
 
-    def place(f, name):
-        return (((f ^ (name * 0x9E3779B97F4A7C15 % 2**64)) * 0xFF51AFD7ED558CCD) % 2**64) >> (64 - lm.WEIGHT_BITS)
+    def place(f, name, half):
+        return ((((f ^ (name * 0x9E3779B97F4A7C15 % 2**64)) * 0xFF51AFD7ED558CCD) % 2**64) >> (65 - lm.WEIGHT_BITS)) + half * 2 ** (lm.WEIGHT_BITS - 1)
 
-    def down(leaf, n, base, f, first):
+    def down(leaf, n, base, f, first, half):
         out, node = 0.0, 1
         while node < n:
             right = leaf * 2 // n % 2 if node == 1 else (leaf >> (n.bit_length() - 1 - node.bit_length())) & 1
-            x = float(base[node]) + sum(float(m.weights[place(g, first + node)]) for g in f)
+            x = float(base[node]) + sum(float(m.weights[place(g, first + node, half)]) for g in f)
             out -= math.log10(1 + math.exp(-x if right else x))
             node = 2 * node + right
         assert node == n + leaf
@@ -116,11 +116,11 @@ def test_hashed_model_against_brute_force(spark, prose):
         for at, w in enumerate(words):
             k, g = single.get(w, lm.SINGLE + lm._ending(w)), (codes[at + 2] >> 32) % lm.INNER
             mine = [int(x) for x in f[:, at]]
-            want += down(k, lm.CLASSES, m.outer[a * lm.HISTORIES + b], mine, 0)
+            want += down(k, lm.CLASSES, m.outer[a * lm.HISTORIES + b], mine, 0, 0)
             if w in single:
                 want += math.log10((c.get(w, 0) + 1) / model.norms[k])
             else:
-                want += down(g, lm.INNER, m.inner[k - lm.SINGLE], mine, (1 + k) * lm.CLASSES)
+                want += down(g, lm.INNER, m.inner[k - lm.SINGLE], mine[:1], (1 + k) * lm.CLASSES, 1)
                 want += math.log10((c.get(w, 0) + 1) / model.inner[k - lm.SINGLE, g])
             a, b = k, a
         assert rows[i] == pytest.approx(want, rel=1e-5, abs=1e-4)

@@ -6,8 +6,8 @@ over hashed features of the history: the token before (n-gram) and the one befor
 
 With hashed=True both factors depend on the real words before: a class's words fall into INNER
 groups by their hash, and p(w | h) = p(class | h) * p(group | class, h) * (c(w) + 1) / R(class, group).
-Both softmaxes are factored along binary trees. Hashes of the word before (n-gram), of the one before
-that (skip) and of both choose weights, in a table of 2^WEIGHT_BITS, that move the odds at each node.
+Both softmaxes are factored along binary trees. Hashes of the word before (n-gram) and, for the class,
+of the one before that (skip) choose weights, in a table of 2^WEIGHT_BITS, that move the odds at each node.
 """
 
 from __future__ import annotations
@@ -34,10 +34,10 @@ COMMON = 200_000
 #: Words that a Python worker remembers besides.
 REMEMBERED = 250_000
 END = b""  # no word is empty
-#: Weights over hashes of real words; groups in a class (a power of two); features of a history.
-WEIGHT_BITS, INNER, FEATURES = 22, 64, 3
+#: Weights over hashes of real words, half of them for classes; groups in a class (a power of two); features of a class's history.
+WEIGHT_BITS, INNER, FEATURES = 21, 64, 2
 #: Passes over the training texts for them; turns that are added to what is seen and expected of each weight.
-PASSES, PRIOR = 2, 4.0
+PASSES, PRIOR = 1, 4.0
 #: Tokens looked at together at most (a text of more goes in pieces).
 PIECE = 8_000
 #: Weights travel in blocks of this many.
@@ -151,10 +151,9 @@ def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 def features(codes: np.ndarray) -> np.ndarray:
-    """FEATURES hashes of the history of each token of one text: the word before, the one before that, both."""
+    """FEATURES hashes of the history of each token of one text: the word before, the one before that."""
     before = np.concatenate((np.array([1, 1], np.uint64), codes))
-    a, b = before[1:-1], before[:-2]
-    return np.stack((_mixed(a, 1), _mixed(b, 2), _mixed(a + _mixed(b, 3), 4)))
+    return np.stack((_mixed(before[1:-1], 1), _mixed(before[:-2], 2)))
 
 
 def groups(codes: np.ndarray) -> np.ndarray:
@@ -183,6 +182,13 @@ def _path(leaf: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 _NODES = np.arange((1 + CLASSES) * CLASSES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
+def _places(x: np.ndarray) -> np.ndarray:
+    """Places in half the table."""
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x >>= np.uint64(65 - WEIGHT_BITS)
+    return x.view(np.int64).ravel()
+
+
 @dataclass(frozen=True)
 class Hashed:
     """Both factors as products of two-way softmaxes along trees; a node's logit is its base and a weight of each feature.
@@ -196,7 +202,7 @@ class Hashed:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(1 << WEIGHT_BITS, np.float32))
 
     def turns(self, k: np.ndarray, codes: np.ndarray, history: np.ndarray, f: np.ndarray):
-        """The turns that lead to each token: places of their weights (features x turns), logits, whether right.
+        """The turns that lead to each token: for each feature the first turn that it moves and the places of its weights; logits; whether right.
 
         First those to its class, for all tokens; then, for those of ending classes, those to the group.
         """
@@ -205,13 +211,10 @@ class Hashed:
         below, turn = _path(groups(codes[e]), INNER)
         logits = np.concatenate((self.outer[history[:, None], node].ravel(), self.inner[k[e, None] - SINGLE, below].ravel()))
         named, within = _NODES[node], _NODES[below + (1 + k[e, None]) * CLASSES]
-        at = []
-        for row in f:
-            x = np.concatenate(((row[:, None] ^ named).ravel(), (row[e, None] ^ within).ravel()))
-            x *= np.uint64(0xFF51AFD7ED558CCD)
-            x >>= np.uint64(64 - WEIGHT_BITS)
-            at.append(x.view(np.int64))
-            logits += self.weights[at[-1]]
+        at = [(0, _places(row[:, None] ^ named)) for row in f]
+        at.append((node.size, _places(f[0][e, None] ^ within) + (1 << (WEIGHT_BITS - 1))))
+        for first, places in at:
+            logits[first : first + len(places)] += self.weights.take(places)
         return at, logits, np.concatenate((right.ravel(), turn.ravel()))
 
     def log10(self, k: np.ndarray, codes: np.ndarray, history: np.ndarray, f: np.ndarray) -> np.ndarray:
@@ -257,9 +260,9 @@ class Tally:
         p = (1 / (1 + np.exp(-x))).astype(np.float64)
         if self.observe:
             p = p + 1j * (1 + right * float(_RIGHT))
-        for row in at:
-            np.add.at(self.packed, row, p)
-        self.turns += len(p) * FEATURES
+        for first, places in at:
+            np.add.at(self.packed, places, p[first : first + len(places)])
+            self.turns += len(places)
 
     def full(self) -> bool:
         """Whether a weight may soon have too many turns to count."""
@@ -318,10 +321,12 @@ def _sum_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def moved(weights: np.ndarray, expected: np.ndarray, seen: np.ndarray, turns: np.ndarray) -> np.ndarray:
-    """Weights a step up the gradient, which is seen - expected, with the scale of iterative scaling: a turn has FEATURES weights."""
+    """Weights a step up the gradient, which is seen - expected, with the scale of iterative scaling: a turn to a class has FEATURES weights."""
     right = np.log(seen + PRIOR) - np.log(expected + PRIOR)
     left = np.log(turns - seen + PRIOR) - np.log(np.maximum(turns - expected, 0) + PRIOR)
-    return (weights + (right - left) / FEATURES).astype(np.float32)
+    step = right - left
+    step[: len(step) // 2] /= FEATURES
+    return (weights + step).astype(np.float32)
 
 
 def train_hashed(training: DataFrame, shared_lexicon, outer: np.ndarray, inner: np.ndarray) -> Hashed:
@@ -372,18 +377,18 @@ def _blobs(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     met = np.flatnonzero(counts.any(1))
     for at in range(0, len(met), 2000):
         some = met[at : at + 2000]
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([counts[h].tobytes() for h in some], pa.binary())], names=["history", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([zlib.compress(counts[h].tobytes(), 1) for h in some], pa.binary())], names=["history", "counts"])
 
 
 def _sum_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for h, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts = np.frombuffer(b, np.int64)
+            counts = np.frombuffer(zlib.decompress(b), np.int64)
             total[h] = total[h] + counts if h in total else counts
     if total:
         found = sorted(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([total[h].tobytes() for h in found], pa.binary())], names=["history", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([zlib.compress(total[h].tobytes(), 1) for h in found], pa.binary())], names=["history", "counts"])
 
 
 @dataclass(frozen=True)
@@ -420,7 +425,7 @@ def _gradients(shared):
         weights, value, total = shared.value, 0.0, np.zeros((1 + 2 * HISTORIES, CLASSES))
         for batch in batches:
             if batch.num_rows:
-                counts = np.stack([np.frombuffer(b, np.int64) for b in batch.column(1).to_pylist()]).astype(float)
+                counts = np.stack([np.frombuffer(zlib.decompress(b), np.int64) for b in batch.column(1).to_pylist()]).astype(float)
                 v, g = gradient(weights, batch.column(0).to_numpy(), counts)
                 value, total = value + v, total + g
         yield pa.RecordBatch.from_arrays([pa.array([value]), pa.array([total.tobytes()], pa.binary())], names=["value", "gradient"])
