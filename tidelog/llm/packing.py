@@ -34,10 +34,10 @@ class ChunkTokenizer:
     crosses. So a text, its A-Z lower-cased (unless it may name a special token), is cut at
     spaces, newlines and before a word's full stop or comma, and the ids of each chunk are
     remembered. The memory is bounded: two generations of ``remembered`` chunks, of which the
-    older is dropped.
+    older is dropped. Texts are encoded whole with any other vocabulary.
     """
 
-    def __init__(self, path: str | None = None, remembered: int = 600_000):
+    def __init__(self, path: str | None = None, remembered: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -45,11 +45,15 @@ class ChunkTokenizer:
             import public_tokenizers
 
             path = public_tokenizers.path(VOCABULARY)
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.whole = Tokenizer.from_file(path), os.path.basename(path) != VOCABULARY
+        if self.whole:
+            return
         (self.tilde,) = self.tokenizer.encode("~", add_special_tokens=False).ids
         self.remembered, self.young, self.old = remembered, {b"": b""}, {}
 
     def encode(self, batch: list[bytes]) -> list[bytes]:
+        if self.whole:
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([t.decode() for t in batch], add_special_tokens=False)]
         split = [_STOP.sub(rb" \1", t if b"<|" in t else t.lower()).replace(b"\n", b" ").split(b" ") for t in batch]
         if len(self.young) > self.remembered:
             self.young, self.old = {b"": b""}, self.young
