@@ -16,13 +16,21 @@ from tidelog.llm.common import cut, spare, texts
 WINDOW = 10
 #: Words of test items that one automaton may hold; more items are matched in further passes over the documents.
 BLOCK_WORDS = 200_000
+#: Bytes that a word may have before its digest takes its place.
+LONG = 256
 
 _WORD_BYTES = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 
 def words_of(text: bytes) -> list[bytes]:
-    """Words of UTF-8 text: runs of digits, letters and whatever isn't ASCII, with A-Z lower-cased."""
-    return text.lower().translate(_WORD_BYTES).split()
+    """Words of UTF-8 text: runs of digits, letters and whatever isn't ASCII, with A-Z lower-cased.
+
+    A word of more than LONG bytes is stood for by its digest, so that a number of words bounds their bytes too.
+    """
+    words = text.lower().translate(_WORD_BYTES).split()
+    if len(text) > LONG and max(map(len, words), default=0) > LONG:
+        words = [w if len(w) <= LONG else b" " + hashlib.sha256(w).digest() for w in words]
+    return words
 
 
 class SuffixAutomaton:
@@ -245,7 +253,11 @@ def _then_none(it):
 
 
 def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256 (of the sorted ids, comma-joined), contaminated, spans."""
+    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256 (of the sorted ids, comma-joined), contaminated, spans.
+
+    Null and empty text have no words and no hits; rows are judged one by one, repeated ids and null
+    ids included; other columns are ignored. Without items, or without rows, nothing is hit.
+    """
     none = F.lit(0).cast("bigint")
     return find(texts(docs), items, window=window, drop_text=True).select(
         "doc_id", "n_words", F.aggregate("spans", none, lambda n, s: n + s["end"] - s["start"]).alias("n_hit"),
