@@ -28,13 +28,17 @@ BASE = {
 }
 #: Generators of candidates: kind, the kind of span they add, pattern. Each scans its text once.
 GENERATORS = (
-    ("mail_words", "email", rf"(?<!{_LOCAL}){_LOCAL}++ ?(?:\(at\)|\[at\]|\{{at\}}) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]|\{{dot\}}) ?[A-Za-z0-9-]++){{1,5}}+"),
+    ("mail_words", "email", rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+ ?(?:\(at\)|\[at\]|\{{at\}}) ?[A-Za-z0-9-]{{1,63}}+(?: ?(?:\.|\(dot\)|\[dot\]|\{{dot\}}) ?[A-Za-z0-9-]{{1,63}}+){{1,5}}+"),
     ("digits", "phone", r"(?<![0-9A-Za-z+.,:/-])(?:\(0|0|\()?[0-9](?:[ ().\/-]{0,2}[0-9]){6,14}(?![0-9A-Za-z])"),
     ("national", "national_id", r"(?<![0-9A-Za-z.-])[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}(?![0-9A-Za-z-])"),
     ("account", "iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
     ("hex_groups", "ip", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
+    ("opaque", "secret", r"(?<![0-9A-Za-z_+/=.-])(?=[A-Za-z_+/-]{0,99}[0-9])(?=[0-9_+/-]{0,99}[A-Za-z])[0-9A-Za-z_+/-]{16,400}+={0,2}(?![0-9A-Za-z_+/=@-])"),
+    ("assigned", "secret", r"(?<=(?i:password|passwd|passwort|passphrase|pwd|secret)\x20?[:=]\x20?[\x22']?)[^\s\x22'<>,;]{6,64}+"),
 )
-KINDS = (*BASE, "iban", "national_id")
+#: The longest span of a generator, and the shortest.
+LONGEST, SHORTEST = 490, 6
+KINDS = (*BASE, "iban", "national_id", "secret")
 CONTEXT = 28
 _KEYWORDS = r"(?i)\b(?:phone|tel|telephone|telefon|t[ée]l[ée]fono|t[ée]l[ée]phone|call|mobile|handy|m[óo]vil|fax|ssn|social security|iban|konto|account|compte|cuenta|e-?mail|contact|kontakt|ip|address|adresse)\b"
 
@@ -115,6 +119,14 @@ FEATURES = {
     "keyword": lambda c: c["before"].rlike(_KEYWORDS).cast("int"),
     "assignment": lambda c: c["before"].rlike(r"[=#№$€£]\s?$|(?i)(?:no|nr|id|isbn|ref|order|version|v)\.?:? ?$").cast("int"),
     "unit_after": lambda c: c["after"].rlike(r"^ ?(?:%|[€$£]|(?:km|kg|m|eur|usd|px|ms|am|pm|h)\b)").cast("int"),
+    "secret_word": lambda c: c["before"].rlike(r"(?i)(?:token|secret|passw[a-z]*|passphrase|pwd|credentials?|bearer|auth|(?:api|access|private|license)[ _-]?key)[^A-Za-z0-9]{1,5}$").cast("int"),
+    "digest_word": lambda c: c["before"].rlike(r"(?i)(?:commit|sha-?[0-9]*|md5|checksum|revision|digest|hash|etag|uuid|guid|file|image|build|version|id|index)[^A-Za-z0-9]{1,4}$").cast("int"),
+    "secret_prefix": lambda c: c["s"].rlike("^(?:A[KS]IA[0-9A-Z]{16}$|gh[pousr]_|[sp]k_(?:live|test)_|xox[abprs]-|AIza|glpat-|eyJ)").cast("int"),
+    "lower_hex": lambda c: c["s"].rlike("^[0-9a-f]+$").cast("int"),
+    "switches": lambda c: F.least(F.size(F.split(c["s"], "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])")), F.lit(15)),
+    "marks": lambda c: F.least(F.length(F.regexp_replace(c["s"], "[^_+/-]", "")), F.lit(9)),
+    "uuid": lambda c: c["s"].rlike("^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-").cast("int"),
+    "upper": lambda c: F.least(F.length(F.regexp_replace(c["s"], "[^A-Z]", "")), F.lit(20)),
     "known_country": lambda c: c["s"].rlike("^(?:AD|AE|AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IS|IT|LI|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|SE|SI|SK|SM|TR)").cast("int"),
 }
 
@@ -206,7 +218,8 @@ class Boosted:
         return cls(tuple(trees), least)
 
     def accepted(self, c: Column) -> tuple[Column, Column]:
-        features = [f(c) for f in FEATURES.values()]
+        """The score of a candidate with its features, and the least that is accepted."""
+        features = [c[f"f_{n}"] for n in FEATURES]
         score = reduce(lambda a, b: a + b, (t.column(features) for t in self.trees))
         least = reduce(lambda a, k: F.when(c["kind"] == k, F.lit(self.least[k])).otherwise(a), self.least, F.lit(float("inf")))
         return score, least
@@ -219,7 +232,20 @@ def _examples(n: int, seed: int = 11) -> list[tuple[str, int, int, int]]:
     name = lambda: "".join(r.choice("abcdefghiklmnoprstu") for _ in range(r.randint(3, 9)))
     quad = lambda: "".join(r.choice("0123456789") for _ in range(4))
     hint = lambda *w: r.choice(w) + r.choice([": ", " ", ". "])
+    text = lambda k, of: "".join(r.choice(of) for _ in range(k))
+    hexed, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda: r.choice(["token", "api_key", "apikey", "secret", "access_token", "client_secret", "auth token", "API key", "private_key", "SECRET_KEY", "Bearer"])
+    given = lambda: r.choice([(' = "', '"'), ("=", ""), (": ", ""), (": '", "'"), ('="', '"'), (" ", "")])
+    opaque = lambda: r.choice([text(32, hexed), text(40, hexed), text(64, hexed), text(r.randint(20, 60), mixed), text(r.randint(24, 44), mixed + "+/")])
+
+    def secret():
+        (a, b), k = given(), key()
+        return k + a, opaque(), b
+
     yes = [
+        secret, secret,
+        lambda: (r.choice(["", "use ", "key "]), r.choice(["AKIA" + text(16, mixed[:26] + "0123456789"), "ghp_" + text(36, mixed), "sk_live_" + text(24, mixed), "xoxb-" + d(11) + "-" + text(24, mixed), "AIza" + text(35, mixed)])),
+        lambda: (r.choice(["password: ", "Password=", "passwd = ", "pwd: ", "Passwort: "]), text(r.randint(5, 12), mixed) + r.choice("!$%&*?") + d(2)),
         lambda: (hint("mail", "Contact", "e-mail", ""), f"{name()}{r.choice(['', '.' + name()])}{r.choice([' (at) ', '(at)', ' [at] ', '[at]'])}{name()}{r.choice([' (dot) ', '[dot]', '.', ' [dot] '])}{r.choice(['com', 'org', 'de', 'example'])}"),
         lambda: (hint("Phone", "Tel", "call", "Telefon", "fax", "mobile"), r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"0{d(2)} {d(3)} {d(4)}", f"0{d(3)}/{d(6)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"{d(3)}.{d(3)}.{d(4)}"])),
         lambda: (r.choice(["", "reach us at ", "or "]), f"({r.randint(200, 999)}) {d(3)}-{d(4)}"),
@@ -229,6 +255,12 @@ def _examples(n: int, seed: int = 11) -> list[tuple[str, int, int, int]]:
         lambda: (hint("IP", "address", ""), ":".join("".join(r.choice("0123456789abcdef") for _ in range(r.randint(1, 4))) for _ in range(8))),
     ]
     no = [
+        lambda: (r.choice(["commit ", "sha1 ", "sha256: ", "md5 ", "checksum ", "revision ", "digest ", "hash = ", "image ", "at ", "see ", ""]), text(r.choice([20, 32, 40, 64]), hexed)),
+        lambda: (r.choice(["", "id ", "uuid: "]), "-".join(text(k, hexed) for k in (8, 4, 4, 4, 12))),
+        lambda: (r.choice(["", "file ", "in "]), "-".join(r.choice([name(), name(), d(4)]) for _ in range(5)) + "-v" + d(1)),
+        lambda: (r.choice(["", "class "]), "".join(name().capitalize() for _ in range(3)) + d(1) + name().capitalize()),
+        lambda: (r.choice(["", "path "]), "/".join(name() for _ in range(4)) + d(2)),
+        lambda: (r.choice(["password: ", "secret: "]), r.choice(["required", "forgotten", "optional", name()])),
         lambda: (hint("order", "No", "ref", "id", ""), r.choice([d(8), d(10), d(12), f"{d(4)}-{d(6)}", f"{d(2)}-{d(7)}"])),
         lambda: (r.choice(["on ", "am ", "le ", ""]), r.choice([f"20{d(2)}-0{r.randint(1, 9)}-1{d(1)}", f"1{d(1)}.0{r.randint(1, 9)}.20{d(2)}", f"20{d(2)}-0{r.randint(1, 9)}-1{d(1)} 1{d(1)}", f"1{d(1)}/0{r.randint(1, 9)}/20{d(2)}"])),
         lambda: (r.choice(["", "ISBN "]), f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}"), lambda: ("", d(r.randint(7, 15))), lambda: ("", f"{d(4)} {d(4)} {d(4)} {d(3)}"),
@@ -243,9 +275,9 @@ def _examples(n: int, seed: int = 11) -> list[tuple[str, int, int, int]]:
     out = []
     for k in range(n):
         label = k % 2
-        lead, span = r.choice(yes if label else no)()
+        lead, span, *tail = r.choice(yes if label else no)()
         head = f"{words(r.randint(1, 5))} {lead}"
-        out.append((f"{head}{span} {words(r.randint(1, 4))}", len(head), len(head) + len(span), label))
+        out.append((f"{head}{span}{''.join(tail)} {words(r.randint(1, 4))}", len(head), len(head) + len(span), label))
     return out
 
 
@@ -298,11 +330,13 @@ def find(docs: DataFrame, trees: Boosted | None = None) -> DataFrame:
     base = [_valid_spans(k) for k in BASE]
     rows = rows.withColumn("base", F.concat(*base).cast(typed)).select("doc_id", "text", "base")
     rows = _candidates(rows, "text", "c")
-    scored = F.transform("c", lambda c: F.struct(c["adds"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), trees.accepted(c)[0].alias("score"), trees.accepted(c)[1].alias("least")))
+    known = F.transform("c", lambda c: F.struct(c["kind"].alias("kind"), c["adds"].alias("adds"), c["start"].alias("start"), c["end"].alias("end"), *(f(c).alias(f"f_{n}") for n, f in FEATURES.items())))
+    scored = F.transform(known, lambda c: F.struct(c["adds"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), *(x.alias(n) for x, n in zip(trees.accepted(c), ("score", "least")))))
     rows = rows.withColumn("chosen", F.array_sort(F.transform(F.filter(scored, lambda x: x["score"] >= x["least"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["score"].alias("score")))))
     rows = rows.withColumn("places", F.array_sort(F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end")))))
-    # generators' spans are at least 7 and at most a few dozen places long, so that whatever overlaps one stands near it in order
-    near = lambda i: F.slice(F.col("chosen"), F.greatest(i - 40, F.lit(0)) + 1, F.lit(82))
+    # one generator's spans don't overlap: of each, whatever overlaps a span starts within LONGEST places of it, and so many have room there
+    reach = len(GENERATORS) * (LONGEST // SHORTEST + 2)
+    near = lambda i: F.slice(F.col("chosen"), F.greatest(i - reach, F.lit(0)) + 1, F.lit(2 * reach + 1))
     better = lambda x, y: (y["score"] > x["score"]) | (y["score"] == x["score"]) & ((y["end"] - y["start"] > x["end"] - x["start"]) | (y["end"] - y["start"] == x["end"] - x["start"]) & ((y["start"] < x["start"]) | (y["start"] == x["start"]) & (y["kind"] < x["kind"])))
     meets = lambda x, y: (y["start"] < x["end"]) & (x["start"] < y["end"])
     free = F.filter("chosen", lambda x, i: ~F.exists(near(i), lambda y: meets(x, y) & better(x, y)) & ~F.exists("places", lambda y: meets(x, y)))

@@ -16,7 +16,8 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data.find(table(spark, sf_dir, "documents"))
     counts = [personal_data.count("base", k).alias(f"n_{k}") for k in personal_data.BASE]
-    return found.select("doc_id", *counts, F.sha2(personal_data.written("base"), 256).alias("base_sha256"), personal_data.written("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(personal_data.written("base"), 256).alias("base_sha256"), personal_data.written("spans").alias("spans"),
+                        F.size("spans").cast("bigint").alias("n_spans"), (F.size("spans") - F.size("base")).cast("bigint").alias("n_added"))
 
 
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
