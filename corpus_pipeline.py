@@ -58,13 +58,21 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what they hand on is written to the shared checkpoint folder."""
+    """All stages over documents; what they hand on is written to the shared checkpoint folder.
+
+    A table goes once the next one is written, so that one stays, which the result reads. Rows with
+    a null or repeated id, null, empty and repeated texts, ties and empty tables are handled as each
+    stage's operator says: a null text is empty, has nothing to remove, and packs to its end id.
+    """
     shared_checkpoints(spark)
     at = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{at}/{k}")
             docs = spark.read.parquet(f"{at}/{k}")
+            before = path(f"{at}/{k - 1}")
+            before.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(before, True)
     return docs
