@@ -53,3 +53,14 @@ def test_equal_ids_and_empty(spark):
     assert substrings.remove_repeats(df.limit(0)).collect() == []
     alone = make_docs(spark, [text], [None])
     assert [r.n_removed for r in substrings.remove_repeats(alone).collect()] == [0]
+
+
+def test_long_runs_of_few_words(spark, monkeypatch):
+    """Texts whose windows all have one minimiser: their strings stay short, and so does what a task holds."""
+    monkeypatch.setattr(substrings, "LONGEST", 16)
+    texts = ["a " * 900, "b a " * 300, "a b " * 200 + "c", "a " * 34, "c " * 35, "c " * 30 + "d", None]
+    for t in texts[:3]:
+        w = substrings.Windows(t.encode(), 35, 5)
+        assert w.count.max() <= 16 and w.count.sum() == len(t.split()) - 34 and (w.first[1:] == w.first[:-1] + w.count[:-1]).all()
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(make_docs(spark, texts)).collect()}
+    assert got == dict(enumerate(brute(texts, 35)))

@@ -16,14 +16,16 @@ from tidelog.llm.common import cut, texts
 WINDOW = 35
 #: Words of a minimiser, and log2 of the cells in which minimisers are counted beforehand.
 GRAM, CELL_BITS = 5, 27
-#: Distinct packed strings of one minimiser that a task compares by itself; the windows of more are counted by a shuffle.
-CROWD = 20_000
+#: Distinct packed strings of one minimiser that a task compares by itself, of SHARE windows each on average at most; the windows of more are counted by a shuffle.
+CROWD, SHARE = 20_000, 32
+#: Windows of a packed string: a longer run, as of one word over and over, goes in pieces.
+LONGEST = 256
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93], np.uint64)
 
 
 class Windows:
-    """The super-k-mers of one text: maximal runs of windows with the same minimiser.
+    """The super-k-mers of one text: runs of windows with the same minimiser, as long as they get up to LONGEST.
 
     The words are joined by single spaces in ``flat``; super-k-mer j has the windows that start at
     words first[j] to first[j] + count[j] - 1, minimiser mini[j], and twice[j] if that occurs in it
@@ -57,6 +59,11 @@ class Windows:
             least = np.minimum(least[: len(g) - span + 1], least[span - size :])
         self.first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
         self.count = np.diff(np.append(self.first, len(least)))
+        if (self.count > LONGEST).any():
+            pieces = -(-self.count // LONGEST)
+            piece = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            self.first = np.repeat(self.first, pieces) + LONGEST * piece
+            self.count = np.diff(np.append(self.first, len(least)))
         self.mini = least[self.first]
         places = np.arange(span)
         same_first = g[self.first[:, None] + places] == self.mini[:, None]
@@ -180,7 +187,7 @@ def _resolve(window: int, crowd: int):
     """Rows sorted by minimiser and string: places (start, n windows) that repeat, or single windows yet to be counted.
 
     A string with several places is settled as it streams by; what is held for a minimiser are
-    distinct strings, crowd at most. If there are more, all their windows go on by digest.
+    distinct strings, crowd at most, and of SHARE * crowd windows. If there are more, all their windows go on by digest.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,9 +224,10 @@ def _resolve(window: int, crowd: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), _FOUND)], schema=_FOUND)
 
         for _, same_mini in groupby(rows(), key=lambda r: r[0]):
-            held, crowded = [], False
+            held, crowded, size = [], False, 0
             for body, same in groupby(same_mini, key=lambda r: r[1]):
                 first, several = None, False
+                n = 0
                 for _, _, n, docs, hashes, starts in same:
                     places = list(zip(docs, hashes, starts))
                     if first is None and len(places) == 1:
@@ -233,8 +241,8 @@ def _resolve(window: int, crowd: int):
                     out.extend((*p, n, None) for p in places)
                     yield from flush(False)
                 held.append((body, None if several else first[:3]))
-                if len(held) > crowd:
-                    crowded = True
+                size += n
+                crowded = crowded or len(held) > crowd or size > SHARE * crowd
                 if crowded:
                     alone(held, True)
                     held = []
@@ -293,7 +301,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, **how) -> DataFrame:
     A word goes if a window of ``window`` words covers it whose words also start anywhere else, in
     the same text or another; windows are judged on the input. All occurrences go, the first
     included. Null or empty text has no words; rows with the same doc_id are judged one by one;
-    extra columns are ignored.
+    extra columns are ignored; an empty table has no rows.
     """
     rows = texts(docs).withColumn("th", F.xxhash64("text"))
     spans = repeated(docs, window, **how).withColumnsRenamed({"doc_id": "d", "th": "h"})
