@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidelog.functions.rules import FilterRules, ValueMap
 from tidelog.operators import apply as A
 from tidelog.operators import control as C
+from tidelog.operators import joins as J
 from tidelog.operators import log as L
 from tidelog.operators import stats as G
 from tidelog.plans import engine
@@ -308,6 +309,36 @@ def test_crash_between_log_and_database(tmp_path, kind, database, mark):
     b.close()
 
 
+def test_undecided_segments_wait(spark, tmp_path):
+    def write(seq, *marks):
+        w = seg.SegmentWriter(str(tmp_path / "d"), seq)
+        for k, m in enumerate(marks):
+            for sql in (["CREATE TABLE t(id INTEGER)"] if seq == k == 0 else []) + [f"INSERT INTO t VALUES({seq})", *([m] if m else [])]:
+                w.append(10 * seq + k + 1, sql)
+        w.finish()
+
+    write(0, "COMMIT")
+    write(1, "COMMIT", None)
+    write(2, "COMMIT")
+    dst = engine.Destination(spark, str(tmp_path))
+    dst.sync()
+    assert [r.id for r in dst.table("t").collect()] == [0]
+    os.remove(tmp_path / "d" / "1.sqllog")
+    write(1, "COMMIT", "ROLLBACK")
+    dst.sync()
+    assert sorted(r.id for r in dst.table("t").collect()) == [0, 1, 2]
+
+
+def test_joins_by_order(spark):
+    left = spark.createDataFrame([("a", 5, 1), ("a", 1, 2), ("b", 9, 3), (None, 3, 4), ("a", 5, 5), ("c", 2, 6)], "k string, t long, id int")
+    right = spark.createDataFrame([("a", 2, "x"), ("a", 5, "y"), ("a", 5, "z"), ("b", 10, "w"), (None, 3, "n"), ("c", 1, None)], "k string, t long, v string")
+    got = {r.id: r.v for r in J.as_of_join(left, right, ["k"], "t", ["v"]).collect()}
+    assert got == {1: "z", 2: None, 3: None, 4: "n", 5: "z", 6: None}
+    points = spark.createDataFrame([(-7.5,), (0.0,), (3.0,), (None,)], "x double")
+    ranges = spark.createDataFrame([(1, -8.0, 3.0), (2, 3.0, 3.0), (3, 0.0, 100.0), (4, None, 1.0)], "r int, a double, b double")
+    assert sorted((r.x, r.r) for r in J.range_join(points, ranges, "x", "a", "b", 4.0).collect()) == [(-7.5, 1), (0.0, 1), (0.0, 3), (3.0, 3)]
+
+
 def test_log_is_on_disk_before_rotation(tmp_path):
     import sqlite3
 

@@ -76,6 +76,13 @@ def decided_segments(log: DataFrame, sidecars: DataFrame | None = None) -> DataF
     there = sidecars.select(*COMMIT).distinct().withColumn("there", F.lit(1))
     return last.join(there, COMMIT, "left").where("exact = 1 or replay = 1 and there = 1").select(*SEGMENT)
 
+def until_undecided(log: DataFrame, sidecars: DataFrame | None = None) -> DataFrame:
+    """The log of each device before its first segment whose last transaction is not decided: that one and all later ones wait."""
+    open_ = log.select(*SEGMENT).distinct().join(decided_segments(log, sidecars), SEGMENT, "left_anti")
+    stop = open_.groupBy("device_id").agg(F.min("segment_seq").alias("_stop"))
+    return log.join(stop, "device_id", "left").where("_stop is null or segment_seq < _stop").select(*log.columns)
+
+
 
 def skip_segments(log: DataFrame, checkpoint: DataFrame) -> DataFrame:
     """Rows of segments that a destination has not finished: checkpoint has device_id, resume_seq, resume_change."""
