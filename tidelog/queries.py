@@ -228,8 +228,7 @@ _TEXTS = """texts as (select event_id, case event_id % 16
 
 
 def _texts(spark, sf_dir):
-    read(spark, sf_dir, "events").createOrReplaceTempView("tidelog_events")
-    return spark.sql("with " + _TEXTS.replace("from events", "from tidelog_events") + " select * from texts")
+    return spark.sql("with " + _TEXTS.replace("from events", "from {events}") + " select * from texts", events=read(spark, sf_dir, "events"))
 
 
 @query(f"""with {_TEXTS} select event_id, case event_id % 16 when 0 then 'INSERT' when 1 then 'UPDATE' when 2 then 'DELETE' when 3 then 'CREATETABLE' when 4 then 'DROPTABLE' when 5 then 'RENAMETABLE' when 6 then 'ADDCOLUMN'
