@@ -69,7 +69,7 @@ def test_pivots_find_and_discard(spark):
                 g ^= 1 << r.randrange(64)
             fps.add(g)
     df = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
-    found = simhash.candidates(df.select("fp", simhash._cells().alias("cell")))
+    found = simhash.candidates(simhash.celled(df))
     rows = found.select("u", "v", simhash.discarded("du", "dv").alias("gone")).distinct().collect()
     apart = lambda x: ((x.u ^ x.v) % 2**64).bit_count()
     every = sorted(fps)

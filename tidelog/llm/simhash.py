@@ -91,25 +91,25 @@ def _distances(n: int):
     return F.array(*(_distance(p).cast("tinyint") for p in pivots(n + 1)[1:]))
 
 
-def _cells():
-    """The cells that a linked pair may share: for each choice of GROUPS - MAX_BITS groups of coordinates, what these are.
+def celled(distinct: DataFrame) -> DataFrame:
+    """(fp, cell): the cells that a linked pair may share, for each choice of GROUPS - MAX_BITS groups of coordinates what these are.
 
     The distance to a reference with a block of two bits flipped is that to the first, plus two,
     less twice the bits of the block that differ from the first's.
     """
     base = pivots(1)[0]
-    first = _distance(base)
-    coordinates = [F.shiftright(first + 2 - _distance(base ^ (3 << (2 * j))), 1) for j in range(BLOCKS)]
-    groups = [reduce(lambda n, c: n * 3 + c, coordinates[g::GROUPS]).cast("bigint") for g in range(GROUPS)]
-    cells = []
-    for k, chosen in enumerate(combinations(range(GROUPS), GROUPS - MAX_BITS)):
-        cells.append(reduce(lambda n, g: F.shiftleft(n, 10).bitwiseOR(groups[g]), chosen, F.lit(k).cast("bigint")))
-    return F.explode(F.array(*cells))
+    rows = distinct.select("fp", (_distance(base) + 2).alias("first"))
+    coordinates = [F.shiftright(F.col("first") - _distance(base ^ (3 << (2 * j))), 1) for j in range(BLOCKS)]
+    groups = [reduce(lambda n, c: n * 3 + c, coordinates[g::GROUPS]).cast("bigint").alias(f"g{g}") for g in range(GROUPS)]
+    rows = rows.select("fp", F.array(*groups).alias("g"))
+    chosen = F.lit([list(c) for c in combinations(range(GROUPS), GROUPS - MAX_BITS)])
+    cells = F.transform(chosen, lambda c, k: F.aggregate(c, k.cast("bigint"), lambda n, g: F.shiftleft(n, 10).bitwiseOR(F.get("g", g))))
+    return rows.select("fp", F.explode(cells).alias("cell"))
 
 
 def discarded(x: str, y: str, n: int = SCATTERED):
-    """Whether the greatest difference of the coordinates of two rows says that they can't be linked."""
-    return F.greatest(*(F.abs(F.get(x, F.lit(i)) - F.get(y, F.lit(i))) for i in range(n))) > MAX_BITS
+    """Whether some difference of the n coordinates of two rows, and so the greatest, says that they can't be linked."""
+    return F.exists(F.zip_with(F.slice(x, 1, n), F.slice(y, 1, n), lambda a, b: F.abs(a - b)), lambda d: d > MAX_BITS)
 
 
 def candidates(cells: DataFrame, n_pivots: int = SCATTERED) -> DataFrame:
@@ -127,7 +127,7 @@ def links(distinct: DataFrame, n_pivots: int = SCATTERED, cell: int = CELL) -> D
     and is linked to the smallest there: fingerprints sharing a variant differ by two bits at most,
     and any that do share one. So no group is ever expanded into its pairs, and no link is lost.
     """
-    keyed = distinct.select("fp", _cells().alias("cell"))
+    keyed = celled(distinct)
     sizes = keyed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     live = cut(keyed.join(sizes, "cell"))
     near = candidates(live.where(F.col("n") <= cell).select("cell", "fp"), n_pivots).where(~discarded("du", "dv", n_pivots)).select("u", "v").distinct()
