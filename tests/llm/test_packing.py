@@ -67,3 +67,11 @@ def test_same_ids_and_empty(spark):
     assert sorted((str(r.doc_id), r.length) for r in rows) == [("1", 3), ("1", 3), ("None", 1)]
     assert packing.pack(make_docs(spark, ["x"]).limit(0)).collect() == []
     assert {r.ids for r in packing.pack(make_docs(spark, ["a b"]), with_ids=False).collect()} == {None}
+
+
+def test_another_vocabulary(spark, prose):
+    """Chunks are remembered only where the vocabulary is known to part texts there."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    want = {k: [*t.encode(x or "", add_special_tokens=False).ids, 2] for k, x in enumerate(prose)}
+    check(packing.pack(make_docs(spark, prose), tokenizer=path).collect(), want, packing.CAPACITY)
