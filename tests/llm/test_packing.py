@@ -75,3 +75,23 @@ def test_another_vocabulary(spark, prose):
     t = Tokenizer.from_file(path)
     want = {k: [*t.encode(x or "", add_special_tokens=False).ids, 2] for k, x in enumerate(prose)}
     check(packing.pack(make_docs(spark, prose), tokenizer=path).collect(), want, packing.CAPACITY)
+
+
+def test_plain_words_pass_by_the_normaliser(monkeypatch):
+    """Unseen words of letters alone meet the merges directly; all ids are the tokenizer's, however texts are cut into pieces."""
+    monkeypatch.setattr(packing, "PIECE", 40)
+    coder = packing.ChunkTokenizer(remembered=30)
+
+    class Seen:
+        chunks = set()
+
+        def encode_batch_fast(self, groups, **how):
+            self.chunks.update(c for g in groups for c in g.split(" "))
+            return tokenizer.encode_batch_fast(groups, **how)
+
+    tokenizer, coder.tokenizer = coder.tokenizer, Seen()
+    plain = "anblewh Sttible éaieux. Ùber STRASSE straße, œuvre ÿ y.\nEnd."
+    texts = [plain, plain, "", " ", ".", "a., b", ", .a", "x.", "\n.\n,", "é K Å ǅ İ ÷ ª µ don't 12.5 a~b <|x", *(f"word{chr(97 + k % 26) * (k % 7)} tail{k}." for k in range(60)), " ".join(f"{plain} {k}" for k in range(20))]
+    got = [x for at in range(0, len(texts), 7) for x in coder.encode([t.encode() for t in texts[at : at + 7]])]
+    assert [list(memoryview(g).cast("I")) for g in got] == [i[:-1] for i in ids_of(texts)]
+    assert "12.5" in Seen.chunks and not {"anblewh", "sttible", "éaieux", "strasse", "straße", "end"} & {c.lower() for c in Seen.chunks}

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +24,37 @@ _TYPES = pa.schema([*((n, pa.int64()) for n in _NAMES[:7]), ("is_open", pa.bool_
 _LEFTOVERS = 1 << 62
 
 
-#: A full stop or comma between a letter or digit and white space is a token of its own.
-_STOP = re.compile(rb"(?<=[0-9A-Za-z])([.,])(?=[ \n])")
+#: A full stop or comma between one of these bytes and white space, or the end, is a token of its own.
+_WORDY = np.zeros(256, bool)
+_WORDY[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+#: Chunks of nothing but such letters (lower-cased) need no normalising, and are one word of the vocabulary's.
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: Bytes of text that are encoded together at most, if a text has a space that early.
+PIECE = 1 << 22
+
+
+class Chunks:
+    """Chunks of text and their ids, which lie end to end: ``slots`` numbers the chunks, ``starts`` says where each begins."""
+
+    def __init__(self):
+        self.slots, self.ids, self.starts = {b"": 0}, array("I"), array("Q", [0, 0])
+
+    def add(self, chunks: list[bytes], ids: bytes, ends) -> None:
+        """Chunks whose ids, laid end to end, end at ``ends``."""
+        first, base = len(self.starts) - 1, len(self.ids)
+        self.slots.update(zip(chunks, range(first, first + len(chunks))))
+        self.ids.frombytes(ids)
+        self.starts.extend([base + e for e in ends])
+
+    def of(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the chunks of these numbers, laid end to end, and where each ends, from 0 on."""
+        starts = np.frombuffer(self.starts, np.uint64).astype(np.int64)
+        first, n = starts[chunks], starts[chunks + 1] - starts[chunks]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        places = np.repeat(first - ends[:-1], n)
+        places += np.arange(len(places))
+        ids = np.frombuffer(self.ids, np.uint32)
+        return ids.take(places) if len(places) else ids[:0], ends
 
 
 class ChunkTokenizer:
@@ -39,7 +69,7 @@ class ChunkTokenizer:
 
     def __init__(self, path: str | None = None, remembered: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         if path is None:
             import public_tokenizers
@@ -49,43 +79,109 @@ class ChunkTokenizer:
         if self.whole:
             return
         (self.tilde,) = self.tokenizer.encode("~", add_special_tokens=False).ids
-        self.remembered, self.young, self.old = remembered, {b"": b""}, {}
+        # the same merges without the normaliser and its patterns
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[k for w, k in vocabulary.items() if w.endswith("</w>")]] = True
+        self.remembered, self.young, self.old = remembered, Chunks(), Chunks()
 
     def encode(self, batch: list[bytes]) -> list[bytes]:
         if self.whole:
             return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([t.decode() for t in batch], add_special_tokens=False)]
-        split = [_STOP.sub(rb" \1", t if b"<|" in t else t.lower()).replace(b"\n", b" ").split(b" ") for t in batch]
-        if len(self.young) > self.remembered:
-            self.young, self.old = {b"": b""}, self.young
-        young, old = self.young, self.old
-        known = [list(map(young.get, s)) for s in split]
-        missed: set[bytes] = set()
-        for s, k in zip(split, known):
-            if None in k:
-                missed.update([c for c, x in zip(s, k) if x is None])
-        unseen = []
-        for c in missed:
-            if (x := old.get(c)) is None:
-                unseen.append(c)
+        out: list[bytes] = []
+        held, size = [], 0
+        for t in batch:
+            t = t if b"<|" in t else t.lower()
+            if size + len(t) > PIECE:
+                out += self._encode(held)
+                held, size = [], 0
+            if len(t) > PIECE:
+                out.append(b"".join(x for p in _pieces(t) for x in self._encode([p])))
             else:
-                young[c] = x
-        self._learn([c for c in unseen if b"~" not in c], 64)
-        self._learn([c for c in unseen if b"~" in c], 1)
-        return [b"".join(map(young.__getitem__, s) if None in k else k) for s, k in zip(split, known)]
-
-
-    def _learn(self, chunks: list[bytes], together: int) -> None:
+                held.append(t)
+                size += len(t)
+        return out + self._encode(held)
+
+    def _encode(self, batch: list[bytes]) -> list[bytes]:
+        if not batch:
+            return []
+        data = np.frombuffer(b"\n".join([*batch, b""]), np.uint8)
+        bounds = np.cumsum([0, *(len(t) + 1 for t in batch)])
+        stops = np.flatnonzero((data == ord(".")) | (data == ord(",")))
+        after = data[stops + 1]
+        stops = stops[_WORDY[data[stops - 1]] & ((after == ord(" ")) | (after == ord("\n")))]
+        data = np.insert(data, stops, ord(" "))
+        data[data == ord("\n")] = ord(" ")
+        bounds += np.searchsorted(stops, bounds)
+        split = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+        split = pc.split_pattern(split, b" ")
+        chunks = split.values.dictionary_encode()
+        distinct, which = chunks.dictionary.to_pylist(), chunks.indices.to_numpy()
+        if len(self.young.slots) > self.remembered:
+            self.young, self.old = Chunks(), self.young
+        young = self.young
+        slots = list(map(young.slots.get, distinct))
+        if None in slots:
+            self._learn([c for c, k in zip(distinct, slots) if k is None])
+            slots = list(map(young.slots.__getitem__, distinct))
+        ids, ends = young.of(np.array(slots)[which])
+        flat, ends = ids.tobytes(), (4 * ends[split.offsets.to_numpy()]).tolist()
+        return [flat[a:b] for a, b in zip(ends, ends[1:])]
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Ids of chunks that the young generation lacks."""
+        plain, words, marked, alone, again, slots = [], [], [], [], [], []
+        for c, w in zip(chunks, b" ".join(chunks).decode().lower().split(" ")):
+            if (k := self.old.slots.get(c)) is not None:
+                again.append(c)
+                slots.append(k)
+            elif _PLAIN.fullmatch(w):
+                plain.append(c)
+                words.append(w)
+            else:
+                (alone if b"~" in c else marked).append(c)
+        ids, ends = self.old.of(np.array(slots, int))
+        self.young.add(again, ids.tobytes(), ends[1:].tolist())
+        groups = [words[at : at + 64] for at in range(0, len(words), 64)]
+        for k, e in enumerate(self.plain.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            self.young.add(plain[64 * k : 64 * k + 64], ids.tobytes(), (np.flatnonzero(self.last[ids]) + 1).tolist())
+        self._mark(marked, 64)
+        self._mark(alone, 1)
+
+    def _mark(self, chunks: list[bytes], together: int) -> None:
         """Encode unseen chunks, several to a call: a tilde between them is always one token, which no chunk holds."""
         groups = [chunks[at : at + together] for at in range(0, len(chunks), together)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([b" ~ ".join(g).decode() for g in groups], add_special_tokens=False)):
-            ids = array("I", e.ids)
-            flat = ids.tobytes()
-            at = 0
-            if len(group) > 1:
-                for c, end in zip(group, np.flatnonzero(np.frombuffer(ids, np.uint32) == self.tilde).tolist()):
-                    self.young[c] = flat[4 * at : 4 * end]
-                    at = end + 1
-            self.young[group[-1]] = flat[4 * at :]
+            ids = np.array(e.ids, np.uint32)
+            if len(group) == 1:
+                self.young.add(group, ids.tobytes(), [len(ids)])
+                continue
+            between = ids == self.tilde
+            at = np.flatnonzero(between)
+            self.young.add(group, ids[~between].tobytes(), [*(at - np.arange(len(at))).tolist(), len(ids) - len(at)])
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch that are looked at together: 1024, or fewer of some PIECE bytes of text."""
+    sizes, at = np.cumsum(pc.binary_length(batch.column(1).cast(pa.binary())).to_numpy()), 0
+    while at < len(sizes):
+        end = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PIECE, "right"))
+        end = min(max(end, at + 1), at + 1024)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A long text cut at spaces into pieces of about PIECE bytes."""
+    at = 0
+    while at < len(text):
+        end = text.find(b" ", at + PIECE)
+        end = len(text) if end < 0 else end
+        yield text[at:end]
+        at = end + 1
 
 
 _TOKENIZERS: dict[str | None, ChunkTokenizer] = {}
@@ -169,8 +265,7 @@ def _pack_partition(path, capacity, open_windows, least_piece, end_id, with_ids)
             return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _TYPES)] if rows else [pa.array([], t.type) for t in _TYPES], schema=_TYPES)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for some in _slices(batch):
                 closed = []
                 for doc, ids in zip(some.column(0).to_pylist(), coder.encode(some.column(1).cast(pa.binary()).to_pylist())):
                     closed += packer.add(doc, ids + end)
