@@ -4,13 +4,14 @@ import corpus_pipeline as cp
 import public_tokenizers
 import pyspark.sql.functions as F
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import make_docs
 from tests.llm.test_contamination import lower
 from tests.llm.test_line_dedup import brute as brute_lines
 from tests.llm.test_simhash import brute_components, brute_fingerprint
-from tidelog.llm import contamination, packing, quality_model
+from tidelog.llm import common, contamination, packing, quality_model
 
 
 @pytest.fixture(scope="module")
@@ -88,3 +89,22 @@ def test_changed_texts_are_counted_anew(spark, corpus):
     docs = spark.read.parquet(f"{top}/documents.parquet")
     out = cp.lines(spark, docs, top)
     assert out.where("n_chars <> coalesce(length(text), 0)").count() == 0 and out.count() == docs.count()
+
+
+def test_workers_hold_one_operators_memory(spark, corpus, monkeypatch):
+    """What an operator keeps in a Python worker goes with the first task of another one, in every stage that has Python workers."""
+    owners, plain = [], DataFrame.mapInArrow
+
+    def spy(df, func, *more, **options):
+        assert func.func is common._lean
+        owners.append(func.args[1])
+        return plain(df, func, *more, **options)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", spy)
+    docs = spark.read.parquet(f"{corpus[0]}/documents.parquet").limit(3)
+    for _, stage in cp.STAGES:
+        stage(spark, docs, corpus[0])
+    assert set(owners) == {"quality_model", "simhash", "contamination", "packing"}
+    packing.tokenizer_at(None)
+    assert list(common.lean(iter, "packing")(iter([1, 2]))) == [1, 2] and common.kept("packing")
+    assert list(common.lean(iter, "quality_model")(iter([1, 2]))) == [1, 2] and not common.kept("packing")

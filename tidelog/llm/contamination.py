@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.session import ship_package
-from tidelog.llm.common import cut, spare, texts
+from tidelog.llm.common import cut, lean, spare, texts
 
 WINDOW = 10
 #: Words of test items that one automaton may hold; more items are matched in further passes over the documents.
@@ -241,7 +241,7 @@ def find(docs: DataFrame, items: DataFrame, *, text: str = "text", spans: str =
             seed = int.from_bytes(hashlib.sha256(repr(waiting).encode()).digest()[:8], "big") ^ window
             drop = drop_text and last
             run = _scan(sc.broadcast((seed, waiting)), window, text, spans, found, count, drop)
-            out = out.mapInArrow(run, out.drop(text).schema if drop else out.schema)
+            out = out.mapInArrow(lean(run, "contamination"), out.drop(text).schema if drop else out.schema)
             passes += 1
         waiting = block
     return out
@@ -308,4 +308,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, ma
     rows = rows.where(size <= F.col(count) * max_coverage).drop(found, count)
     if max_span:
         rows = rows.withColumn(spans, F.filter(spans, lambda s: s["end"] - s["start"] > max_span))
-    return rows.mapInArrow(_remove("text", spans), docs.schema)
+    return rows.mapInArrow(lean(_remove("text", spans), "contamination"), docs.schema)

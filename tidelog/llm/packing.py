@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import cut, texts
+from tidelog.llm.common import cut, kept, lean, texts
 
 CAPACITY = 4096
 VOCABULARY = "word_bpe_49k.json"
@@ -184,14 +184,12 @@ def _pieces(text: bytes) -> Iterator[bytes]:
         at = end + 1
 
 
-_TOKENIZERS: dict[str | None, ChunkTokenizer] = {}
-
-
 def tokenizer_at(path: str | None) -> ChunkTokenizer:
     """One tokenizer for each Python worker, kept over its tasks."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = ChunkTokenizer(path)
-    return _TOKENIZERS[path]
+    tokenizers = kept("packing")
+    if path not in tokenizers:
+        tokenizers[path] = ChunkTokenizer(path)
+    return tokenizers[path]
 
 
 class WindowPacker:
@@ -293,7 +291,7 @@ def pack(
     documents of their own.  An empty table has no pieces.  Other columns are ignored.
     """
     run = _pack_partition(tokenizer, capacity, open_windows, least_piece, end_id, with_ids)
-    pieces = cut(texts(docs).mapInArrow(run, _PIECES))
+    pieces = cut(texts(docs).mapInArrow(lean(run, "packing"), _PIECES))
     keep = ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     done = pieces.where("not is_open").withColumn("sequence_id", F.shiftleft("part", 33) + F.col("seq")).select(keep)
     left = pieces.where("is_open")

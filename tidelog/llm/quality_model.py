@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidelog.functions.session import ship_package
-from tidelog.llm.common import spare, texts
+from tidelog.llm.common import lean, spare, texts
 
 #: Most labelled rows that are fitted on; beyond it those with the smallest hash of their id.
 SAMPLE = 20_000
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     known = known.where("y in (0, 1) and d is not null").where(~held_out("d")).orderBy(F.xxhash64("d"), "d", "y").limit(sample)
     rows = texts(docs)
     chosen = rows.join(F.broadcast(known), rows.doc_id == known.d).select(F.col("y"), "text")
-    got = chosen.mapInArrow(_features, "y int, x array<double>").toArrow()
+    got = chosen.mapInArrow(lean(_features, "quality_model"), "y int, x array<double>").toArrow()
     y = got.column("y").to_numpy()
     if len(set(y.tolist())) < 2:
         return Constant(float(y[0]) if len(y) else 0.5)
@@ -189,7 +189,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     The text alone decides: labels, lang, source and doc_id are no inputs.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
-    return texts(docs).mapInArrow(_only_score(shared), "doc_id long, score double")
+    return texts(docs).mapInArrow(lean(_only_score(shared), "quality_model"), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
@@ -198,4 +198,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
     name = spare(docs.columns, "score")
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
-    return docs.mapInArrow(_score(shared, "text", name), schema).where(F.col(name) >= threshold).drop(name)
+    return docs.mapInArrow(lean(_score(shared, "text", name), "quality_model"), schema).where(F.col(name) >= threshold).drop(name)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import cut, spare, texts
+from tidelog.llm.common import cut, lean, spare, texts
 from tidelog.llm.components import components
 
 SEED = 42
@@ -70,7 +70,7 @@ def _fingerprints(width: int):
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp bigint) of every row; null text: empty, fingerprint zero."""
-    return texts(docs).mapInArrow(_fingerprints(width), "doc_id long, fp long")
+    return texts(docs).mapInArrow(lean(_fingerprints(width), "simhash"), "doc_id long, fp long")
 
 
 def pivots(n: int) -> list[int]:
@@ -169,7 +169,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     one by one; of one id's texts in a group the one with the smallest hash stays, and of equal
     rows any one. Rows with a null doc_id are kept, as they can't be told apart.
     """
-    keyed = texts(docs).select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(lambda b: _keyed(b, width), "doc_id long, h long, fp long")
+    keyed = texts(docs).select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(lean(lambda b: _keyed(b, width), "simhash"), "doc_id long, h long, fp long")
     rows = cut(keyed.where("doc_id is not null").groupBy("doc_id", "h").agg(F.min("fp").alias("fp"), F.count("*").alias("n")))
     first = F.min(F.struct("doc_id", "h")).alias("first")
     distinct = cut(rows.groupBy("fp").agg(first))
