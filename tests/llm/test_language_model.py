@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -158,3 +159,19 @@ def test_real_words_before_count_in_both_factors(spark):
     classes_only = {x.doc_id: x.score for x in lm.score(docs).collect()}
     held = [x for x in lm.score(docs, hashed=True).collect() if x.held_out]
     assert held and all(x.score > classes_only[x.doc_id] + 10 for x in held)
+
+
+def test_texts_are_looked_up_together(prose):
+    """Each word of some texts is looked up once, whatever separates them, and no token, start or history is lost."""
+    texts = [(t or "").encode() for t in prose] + [b"  a\tB\x0bb\x0c\r\n a ", b"\x1c\xc2\xa0 \xc2\x85", b"", b" "]
+    distinct, which, starts = lm.laid(texts)
+    assert len(set(distinct)) == len(distinct) and which.max() < len(distinct)
+    got = [[distinct[i] for i in w.tolist()] for w in np.split(which, starts[1:])]
+    assert got == [lm.tokens(t) for t in texts]
+    lexicon = lm.Lexicon([(b"a", 9), (b"", 3)], [b"", b"a"])
+    own = [lexicon.numbers(lm.tokens(t)) for t in texts]
+    k, codes = lexicon.classes(np.concatenate(own)), lexicon.codes(np.concatenate(own))
+    assert lm.histories(k, starts).tolist() == [h for x in own for h in lm.histories(lexicon.classes(x)).tolist()]
+    assert lm.features(codes, starts).tolist() == np.concatenate([lm.features(lexicon.codes(x)) for x in own], 1).tolist()
+    column = pa.array(texts, pa.binary())
+    assert [t for some in lm._slices(column) for t in some] == texts and list(lm._slices(column.slice(0, 0))) == []

@@ -17,13 +17,16 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import cut, texts
+from tidelog.llm.common import cut, kept, lean, texts
 
 #: Classes: SINGLE common tokens, then ENDINGS hash values (a power of two). One more history stands for the text's start.
 SINGLE, ENDINGS = 64, 64
@@ -40,6 +43,8 @@ WEIGHT_BITS, INNER, FEATURES = 21, 64, 2
 PASSES, PRIOR = 1, 4.0
 #: Tokens looked at together at most (a text of more goes in pieces).
 PIECE = 8_000
+#: Texts looked up together at most, and bytes of them unless one text has more.
+TEXTS, BYTES = 1000, 1 << 21
 #: Weights travel in blocks of this many.
 BLOCK = 4096
 
@@ -49,6 +54,33 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
+_SPACES = bytes.maketrans(b"\t\n\v\f\r", b"     ")
+
+
+def laid(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct tokens of texts, which of them each token is, texts laid end to end, and where the texts begin."""
+    data = b" ".join([*texts, b""]).lower().translate(_SPACES)
+    bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    split = pc.split_pattern(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]), b" ")
+    chunks = split.values.dictionary_encode()
+    distinct, which, bounds = chunks.dictionary.to_pylist(), chunks.indices.to_numpy(), split.offsets.to_numpy()
+    # the last chunk of a text is empty, and stands for its end; no other empty one is a token
+    stays = which != distinct.index(END)
+    stays[bounds[1:] - 1] = True
+    before = np.concatenate(([0], np.cumsum(stays)))
+    return distinct, which[stays], before[bounds[:-1]]
+
+
+def _slices(column: pa.Array) -> Iterator[list[bytes]]:
+    column = column.cast(pa.binary())
+    sizes, at = np.cumsum(pc.binary_length(column).to_numpy()), 0
+    while at < len(sizes):
+        end = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BYTES, "right"))
+        end = min(max(end, at + 1), at + TEXTS)
+        yield column.slice(at, end - at).to_pylist()
+        at = end
+
+
 def held_out(folds: int = 7, fold: int = 2):
     """True for rows not learned from: crc32 of the id's text modulo folds; a null id is held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(True))
@@ -83,39 +115,54 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count_tokens(training: DataFrame) -> DataFrame:
     """(word binary, c): every token of the training texts."""
-    return training.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return training.select("text").mapInArrow(lean(_count, "language_model"), "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
 class Lexicon(dict):
-    """Token to number; ``kind``, ``code`` and ``log`` hold the class, the hash and log10(c + 1) of each number (nan: to be joined)."""
+    """Common token to number, and ``further`` ones for a while; ``kind``, ``code`` and ``log`` hold the class, the hash and log10(c + 1) of each number (nan: to be joined)."""
 
     def __init__(self, common: list[tuple[bytes, int]], single: list[bytes]):
         super().__init__()
         self.single = {w: k for k, w in enumerate(single)}
         self.words: list[bytes] = []
         self.kind, self.code, self.log = array("i"), array("Q"), array("d")
-        for w, c in common:
-            self._add(w, np.log10(c + 1))
-        self.base = len(self.words)
-
-    def _add(self, word: bytes, log: float) -> int:
-        self[word] = n = len(self.words)
-        self.words.append(word)
-        k = self.single.get(word)
-        self.kind.append(SINGLE + _ending(word) if k is None else k)
-        self.code.append(_code(word))
-        self.log.append(log)
-        return n
-
-    def __missing__(self, word: bytes) -> int:
-        return self._add(word, float("nan"))
+        self.endings: dict[bytes, int] = {}
+        known = {w for w, _ in common}
+        other = [w for w in single if w not in known]
+        self._add(self, [w for w, _ in common] + other, np.append(np.log10(np.array([c for _, c in common], float) + 1), np.full(len(other), np.nan)))
+        for w, k in self.single.items():
+            self.kind[self[w]] = k
+        self.base, self.further = len(self.words), {}
+
+    def _add(self, to: dict, words: list[bytes], logs: np.ndarray) -> None:
+        import xxhash
+
+        n = len(self.words)
+        to.update(zip(words, range(n, n + len(words))))
+        self.words += words
+        ends = [w[-3:] for w in words]
+        kinds = list(map(self.endings.get, ends))
+        if None in kinds:
+            if len(self.endings) > 100_000:
+                self.endings.clear()
+            self.endings.update((e, SINGLE + _ending(e)) for e in set(ends))
+            kinds = map(self.endings.__getitem__, ends)
+        self.kind.extend(kinds)
+        self.code.extend(map(xxhash.xxh64_intdigest, words, repeat(42)))
+        self.log.frombytes(logs.tobytes())
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         if len(self.words) > self.base + REMEMBERED:
-            for w in self.words[self.base :]:
-                del self[w]
+            self.further.clear()
             del self.words[self.base :], self.kind[self.base :], self.code[self.base :], self.log[self.base :]
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        found = np.array(list(map(self.get, words, repeat(-1))), np.int64)
+        rest = np.flatnonzero(found < 0)
+        if len(rest):
+            words = [words[i] for i in rest.tolist()]
+            new = list(dict.fromkeys(w for w in words if w not in self.further))
+            self._add(self.further, new, np.full(len(new), np.nan))
+            found[rest] = list(map(self.further.__getitem__, words))
+        return found
 
     def classes(self, numbers: np.ndarray) -> np.ndarray:
         return np.frombuffer(self.kind, np.int32)[numbers].astype(np.int64)
@@ -127,21 +174,33 @@ class Lexicon(dict):
         return np.frombuffer(self.log, np.float64)[numbers]
 
 
-_LEXICA: dict[int, Lexicon] = {}
-
-
 def _lexicon(shared) -> Lexicon:
+    """One lexicon for each Python worker, kept over its tasks."""
     key, common, single = shared.value
-    if key not in _LEXICA:
-        _LEXICA.clear()
-        _LEXICA[key] = Lexicon(common, single)
-    return _LEXICA[key]
+    lexica = kept("language_model")
+    if key not in lexica:
+        lexica.clear()
+        lexica[key] = Lexicon(common, single)
+    return lexica[key]
+
 
+_ONE_TEXT = np.zeros(1, np.int64)
 
-def histories(classes: np.ndarray) -> np.ndarray:
-    """The number of the history of each token of one text: its two features, the class before and the one before that."""
-    before = np.concatenate(([START, START], classes))
-    return before[1:-1] * HISTORIES + before[:-2]
+
+def _before(x: np.ndarray, first, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What stands one and two places before, ``first`` where a text that begins at ``starts`` has no such place."""
+    one, two = np.empty_like(x), np.empty_like(x)
+    one[1:] = x[:-1]
+    one[starts] = first
+    two[1:] = one[:-1]
+    two[starts] = first
+    return one, two
+
+
+def histories(classes: np.ndarray, starts: np.ndarray = _ONE_TEXT) -> np.ndarray:
+    """The number of the history of each token of texts laid end to end: its two features, the class before and the one before that."""
+    one, two = _before(classes, START, starts)
+    return one * HISTORIES + two
 
 
 def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -150,10 +209,10 @@ def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def features(codes: np.ndarray) -> np.ndarray:
-    """FEATURES hashes of the history of each token of one text: the word before, the one before that."""
-    before = np.concatenate((np.array([1, 1], np.uint64), codes))
-    return np.stack((_mixed(before[1:-1], 1), _mixed(before[:-2], 2)))
+def features(codes: np.ndarray, starts: np.ndarray = _ONE_TEXT) -> np.ndarray:
+    """FEATURES hashes of the history of each token of texts laid end to end: the word before, the one before that."""
+    one, two = _before(codes, 1, starts)
+    return np.stack((_mixed(one, 1), _mixed(two, 2)))
 
 
 def groups(codes: np.ndarray) -> np.ndarray:
@@ -180,6 +239,11 @@ def _path(leaf: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 #: Names of nodes: those over the classes, then those over the groups of each class.
 _NODES = np.arange((1 + CLASSES) * CLASSES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+#: Paths to all classes and to all groups of a class, a column each; and for those of each ending class the names of the nodes.
+_TO_CLASS, _CLASS_TURNS = (np.ascontiguousarray(x.T) for x in _path(np.arange(CLASSES), CLASSES))
+_TO_GROUP, _GROUP_TURNS = (np.ascontiguousarray(x.T) for x in _path(np.arange(INNER), INNER))
+_TO_CLASS_NAMED = _NODES[_TO_CLASS]
+_TO_GROUP_NAMED = _NODES[_TO_GROUP[:, None] + (1 + np.arange(SINGLE, CLASSES))[:, None] * CLASSES].reshape(len(_TO_GROUP), -1)
 
 
 def _places(x: np.ndarray) -> np.ndarray:
@@ -201,47 +265,46 @@ class Hashed:
     inner: np.ndarray  # ending classes x nodes over groups
     weights: np.ndarray = field(default_factory=lambda: np.zeros(1 << WEIGHT_BITS, np.float32))
 
+    @cached_property
+    def to_group(self) -> np.ndarray:
+        """The logits on the path to each group of each ending class, a column each."""
+        return np.ascontiguousarray(self.inner[:, _TO_GROUP].transpose(1, 0, 2)).reshape(len(_TO_GROUP), -1)
+
     def turns(self, k: np.ndarray, codes: np.ndarray, history: np.ndarray, f: np.ndarray):
         """The turns that lead to each token: for each feature the first turn that it moves and the places of its weights; logits; whether right.
 
-        First those to its class, for all tokens; then, for those of ending classes, those to the group.
+        First those to its class, for all tokens, level by level; then, for those of ending classes, those to the group.
         """
-        node, right = _path(k, CLASSES)
         e = np.flatnonzero(k >= SINGLE)
-        below, turn = _path(groups(codes[e]), INNER)
-        logits = np.concatenate((self.outer[history[:, None], node].ravel(), self.inner[k[e, None] - SINGLE, below].ravel()))
-        named, within = _NODES[node], _NODES[below + (1 + k[e, None]) * CLASSES]
-        at = [(0, _places(row[:, None] ^ named)) for row in f]
-        at.append((node.size, _places(f[0][e, None] ^ within) + (1 << (WEIGHT_BITS - 1))))
+        group = groups(codes[e])
+        below = (k[e] - SINGLE) * INNER + group
+        logits = np.concatenate((self.outer.ravel().take(history * CLASSES + _TO_CLASS.take(k, 1)).ravel(), self.to_group.take(below, 1).ravel()))
+        named = _TO_CLASS_NAMED.take(k, 1)
+        at = [(0, _places(row ^ named)) for row in f]
+        at.append((named.size, _places(f[0][e] ^ _TO_GROUP_NAMED.take(below, 1)) + (1 << (WEIGHT_BITS - 1))))
         for first, places in at:
             logits[first : first + len(places)] += self.weights.take(places)
-        return at, logits, np.concatenate((right.ravel(), turn.ravel()))
+        return at, logits, np.concatenate((_CLASS_TURNS.take(k, 1).ravel(), _GROUP_TURNS.take(group, 1).ravel()))
 
     def log10(self, k: np.ndarray, codes: np.ndarray, history: np.ndarray, f: np.ndarray) -> np.ndarray:
         """log10 p(class, group | history) of each token; a single word's group is itself."""
         _, x, right = self.turns(k, codes, history, f)
         x = np.where(right, -x, x).astype(np.float64)
-        logs = -(np.maximum(x, 0) + np.log1p(np.exp(-np.abs(x)))) / np.log(10)
-        n = len(k) * (CLASSES.bit_length() - 1)
-        out = logs[:n].reshape(len(k), -1).sum(1)
-        out[k >= SINGLE] += logs[n:].reshape(-1, INNER.bit_length() - 1).sum(1)
-        return out
+        # a turn's is max(x, 0) + log(1 + exp(-|x|)); the latter's logs are taken of products, of factors from 1 to 2
+        more, factors = np.maximum(x, 0), 1 + np.exp(-np.abs(x))
+        n = len(_TO_CLASS) * len(k)
+        logs = lambda a, b, depth: more[a:b].reshape(depth, -1).sum(0) + np.log(factors[a:b].reshape(depth, -1).prod(0))
+        out = logs(0, n, len(_TO_CLASS))
+        out[k >= SINGLE] += logs(n, len(x), len(_TO_GROUP))
+        return out / -np.log(10)
 
 
 def _streams(lexicon: Lexicon, texts: list[bytes]):
-    """Texts laid end to end, in pieces of PIECE tokens or a little more: classes, codes, histories, features."""
-    held, n = [], 0
-    for t in texts:
-        numbers = lexicon.numbers(tokens(t))
-        k, codes = lexicon.classes(numbers), lexicon.codes(numbers)
-        for a, h, f in _pieces(histories(k), features(codes)):
-            held.append((k[a : a + PIECE], codes[a : a + PIECE], h, f))
-            n += len(h)
-            if n > PIECE:
-                yield [np.concatenate(x, axis=-1) for x in zip(*held)]
-                held, n = [], 0
-    if held:
-        yield [np.concatenate(x, axis=-1) for x in zip(*held)]
+    """Texts laid end to end, in pieces of PIECE tokens at most: classes, codes, histories, features."""
+    distinct, which, starts = laid(texts)
+    numbers = lexicon.numbers(distinct)
+    k, codes = lexicon.classes(numbers)[which], lexicon.codes(numbers)[which]
+    yield from _pieces(k, codes, histories(k, starts), features(codes, starts))
 
 
 #: Turns and turns to the right share one number; a weight may have this many of each.
@@ -302,8 +365,8 @@ def _moments(shared_lexicon, shared, observe: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, hashed, found = _lexicon(shared_lexicon), Hashed(*shared.value), Tally(observe)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                for stream in _streams(lexicon, batch.column(0).slice(at, 500).cast(pa.binary()).to_pylist()):
+            for some in _slices(batch.column(0)):
+                for stream in _streams(lexicon, some):
                     found.add(hashed, stream)
                     if found.full():
                         yield from _packed(found.blocks())
@@ -339,8 +402,8 @@ def train_hashed(training: DataFrame, shared_lexicon, outer: np.ndarray, inner:
     hashed, sums = Hashed(outer, inner), np.zeros((3, 1 << WEIGHT_BITS), np.float32)
     for k in range(PASSES):
         shared = sc.broadcast((hashed.outer, hashed.inner, hashed.weights))
-        parts = training.select("text").coalesce(sc.defaultParallelism).mapInArrow(_moments(shared_lexicon, shared, k == 0), "block long, sums binary")
-        got = parts.repartition("block").mapInArrow(_sum_moments, "block long, sums binary").toArrow()
+        parts = training.select("text").coalesce(sc.defaultParallelism).mapInArrow(lean(_moments(shared_lexicon, shared, k == 0), "language_model"), "block long, sums binary")
+        got = parts.repartition("block").mapInArrow(lean(_sum_moments, "language_model"), "block long, sums binary").toArrow()
         shared.unpersist()
         rows = sums[: 3 if k == 0 else 1]
         rows[:] = 0
@@ -359,9 +422,10 @@ def _count_classes(shared):
         counts = np.zeros(HISTORIES * HISTORIES * CLASSES, np.int64)
         held, size = [], 0
         for batch in batches:
-            for t in batch.column(0).cast(pa.binary()).to_pylist():
-                k = lexicon.classes(lexicon.numbers(tokens(t)))
-                held.append(histories(k) * CLASSES + k)
+            for some in _slices(batch.column(0)):
+                distinct, which, starts = laid(some)
+                k = lexicon.classes(lexicon.numbers(distinct))[which]
+                held.append(histories(k, starts) * CLASSES + k)
                 size += len(k)
                 if size > 2_000_000:
                     counts += np.bincount(np.concatenate(held), minlength=len(counts))
@@ -444,7 +508,7 @@ def train(class_counts: DataFrame, n_tokens: int, updates: int = 15, rate: float
     top, slope, seen = -np.inf, np.zeros((1 + 2 * HISTORIES, CLASSES)), 1e-8
     for k in range(updates if n_tokens else 0):
         shared = sc.broadcast(weights)
-        got = class_counts.mapInArrow(_gradients(shared), "value double, gradient binary").toArrow()
+        got = class_counts.mapInArrow(lean(_gradients(shared), "language_model"), "value double, gradient binary").toArrow()
         shared.unpersist()
         # summed in a fixed order, as tasks may come back in any
         parts = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist()))
@@ -501,8 +565,8 @@ def fit(docs: DataFrame, hashed: bool = False) -> tuple[Model, DataFrame]:
     common = [*([(END, ends)] if ends else []), *((w, c) for w, c in common if w != END)]
     single = [w for w, _ in common[:SINGLE]] or [END]
     shared = sc.broadcast((_key(common), common, single))
-    blobs = training.select("text").mapInArrow(_count_classes(shared), "history long, counts binary")
-    class_counts = cut(blobs.repartition("history").mapInArrow(_sum_blobs, "history long, counts binary")).coalesce(8)
+    blobs = training.select("text").mapInArrow(lean(_count_classes(shared), "language_model"), "history long, counts binary")
+    class_counts = cut(blobs.repartition("history").mapInArrow(lean(_sum_blobs, "language_model"), "history long, counts binary")).coalesce(8)
     weights = train(class_counts, n)
     norms = np.ones(CLASSES)
     group = F.xxhash64("right_bytes").bitwiseAND(ENDINGS - 1)
@@ -538,34 +602,32 @@ _ROWS = pa.schema([("key", pa.int64()), ("word", pa.binary()), ("k", pa.int64())
 
 
 def _parts(lexicon: Lexicon, table: np.ndarray, norms: np.ndarray, hashed: tuple | None, inner: np.ndarray | None):
-    """Texts to the numbers of their tokens and the part of their score that isn't the tokens' own counts."""
+    """Texts to the numbers of their distinct tokens, which of them each token is, where texts begin, and the parts of their scores that aren't the tokens' own counts."""
     norms, flat = np.log10(norms), table.ravel()
-    if hashed is None:
-
-        def classes_only(texts):
-            for t in texts:
-                numbers = lexicon.numbers(tokens(t))
-                k = lexicon.classes(numbers)
-                yield numbers, flat[histories(k) * CLASSES + k].astype(np.float64).sum() - norms[k].sum()
-
-        return classes_only
-    model, inner = Hashed(*hashed), np.log10(inner)
-
-    def both(texts):
-        # a text's numbers hold until the lexicon forgets, which it does before it numbers another text
-        for t in texts:
-            numbers = lexicon.numbers(tokens(t))
-            k, codes = lexicon.classes(numbers), lexicon.codes(numbers)
-            e = k >= SINGLE
-            part = sum(model.log10(k[a : a + PIECE], codes[a : a + PIECE], h, f).sum() for a, h, f in _pieces(histories(k), features(codes)))
-            yield numbers, part - norms[k[~e]].sum() - inner[k[e] - SINGLE, groups(codes[e])].sum()
+    model, inner = hashed and Hashed(*hashed), None if inner is None else np.log10(inner)
+
+    def parts(texts):
+        distinct, which, starts = laid(texts)
+        numbers = lexicon.numbers(distinct)
+        kinds = lexicon.classes(numbers)
+        k = kinds[which]
+        history = histories(k, starts)
+        if model is None:
+            each = flat[history * CLASSES + k].astype(np.float64) - norms[k]
+        else:
+            codes = lexicon.codes(numbers)
+            shares = np.where(kinds < SINGLE, norms[kinds], inner[np.maximum(kinds - SINGLE, 0), groups(codes)])
+            codes = codes[which]
+            each = np.concatenate([model.log10(*piece) for piece in _pieces(k, codes, history, features(codes, starts))]) - shares[which]
+        return numbers, which, starts, np.add.reduceat(each, starts)
 
-    return both
+    return parts
 
 
-def _pieces(history: np.ndarray, f: np.ndarray):
-    for a in range(0, len(history), PIECE):
-        yield a, history[a : a + PIECE], f[:, a : a + PIECE]
+def _pieces(*columns: np.ndarray):
+    """Columns, whose last axis is the tokens', cut into pieces."""
+    for a in range(0, columns[0].shape[-1], PIECE):
+        yield [x[..., a : a + PIECE] for x in columns]
 
 
 def _score(shared_lexicon, shared_table):
@@ -580,20 +642,27 @@ def _score(shared_lexicon, shared_table):
         lexicon = _lexicon(shared_lexicon)
         parts, key = _parts(lexicon, *shared_table.value), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                rows: list[list] = [[] for _ in _ROWS]
-                for d, (numbers, part) in zip(some.column(0).to_pylist(), parts(some.column(1).cast(pa.binary()).to_pylist())):
-                    logs = lexicon.logs(numbers)
-                    rare = np.isnan(logs)
-                    n, m = len(numbers), int(rare.sum())
-                    which, times = np.unique(numbers[rare], return_counts=True)
-                    new = ([key] * (1 + len(which)), [b" %d" % key, *(lexicon.words[i] for i in which.tolist())], [0, *times.tolist()],
-                           [d, *[None] * len(which)], [n, *[None] * len(which)], [n - m, *[0] * len(which)], [logs[~rare].sum(), *[0.0] * len(which)], [part, *[0.0] * len(which)])
-                    for r, x in zip(rows, new):
-                        r.extend(x)
-                    key += 1
-                yield pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, _ROWS)], schema=_ROWS)
+            at = 0
+            for some in _slices(batch.column(1)):
+                ids = batch.column(0).slice(at, len(some)).to_pylist()
+                at += len(some)
+                numbers, which, starts, model = parts(some)
+                own = lexicon.logs(numbers)
+                rare = np.isnan(own)
+                n = np.diff(np.append(starts, len(which)))
+                logs = np.add.reduceat(np.where(rare, 0, own)[which], starts)
+                place = np.flatnonzero(rare[which])
+                text = np.searchsorted(starts, place, "right") - 1
+                # each text's rare tokens, and how often it has them
+                pair, times = np.unique(text * len(numbers) + which[place], return_counts=True)
+                text, word = pair // len(numbers), numbers[pair % len(numbers)]
+                m = np.bincount(text, times, len(some)).astype(np.int64)
+                keys = key + np.arange(len(some))
+                key += len(some)
+                no, zero = [None] * len(pair), np.zeros(len(pair))
+                columns = (np.concatenate((keys, keys[text])), [b" %d" % x for x in keys.tolist()] + [lexicon.words[i] for i in word.tolist()], np.concatenate((np.zeros(len(some), np.int64), times)),
+                           ids + no, n.tolist() + no, np.concatenate((n - m, zero.astype(np.int64))), np.concatenate((logs, zero)), np.concatenate((model, zero)))
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _ROWS)], schema=_ROWS)
 
     return run
 
@@ -611,7 +680,7 @@ def score(docs: DataFrame, hashed: bool = False) -> DataFrame:
     lexicon = sc.broadcast((_key(model.common), model.common, model.single))
     m = model.hashed
     table = sc.broadcast((model.table, model.norms, m and (m.outer, m.inner, m.weights), model.inner))
-    rows = texts(docs).mapInArrow(_score(lexicon, table), "key long, word binary, k long, doc_id long, n_tokens long, known long, logs double, model double")
+    rows = texts(docs).mapInArrow(lean(_score(lexicon, table), "language_model"), "key long, word binary, k long, doc_id long, n_tokens long, known long, logs double, model double")
     c = F.coalesce("c", F.lit(0))
     sums = rows.join(counts, "word", "left").groupBy("key").agg(
         F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"),
