@@ -173,5 +173,7 @@ def test_texts_are_looked_up_together(prose):
     k, codes = lexicon.classes(np.concatenate(own)), lexicon.codes(np.concatenate(own))
     assert lm.histories(k, starts).tolist() == [h for x in own for h in lm.histories(lexicon.classes(x)).tolist()]
     assert lm.features(codes, starts).tolist() == np.concatenate([lm.features(lexicon.codes(x)) for x in own], 1).tolist()
+    kinds, found, logs = lexicon.look_up(distinct)
+    assert (kinds[which] == k).all() and (found[which] == codes).all() and [w for w, x in zip(distinct, logs) if x == x] == [w for w in distinct if w in (b"a", b"")]
     column = pa.array(texts, pa.binary())
     assert [t for some in lm._slices(column) for t in some] == texts and list(lm._slices(column.slice(0, 0))) == []

@@ -34,7 +34,7 @@ CLASSES, HISTORIES = SINGLE + ENDINGS, SINGLE + ENDINGS + 1
 START = CLASSES
 #: Words whose counts are broadcast; the counts of all others are joined.
 COMMON = 200_000
-#: Words that a Python worker remembers besides.
+#: Words that a lexicon numbers besides before it forgets them; passes over texts only look up.
 REMEMBERED = 250_000
 END = b""  # no word is empty
 #: Weights over hashes of real words, half of them for classes; groups in a class (a power of two); features of a class's history.
@@ -44,7 +44,7 @@ PASSES, PRIOR = 1, 4.0
 #: Tokens looked at together at most (a text of more goes in pieces).
 PIECE = 8_000
 #: Texts looked up together at most, and bytes of them unless one text has more.
-TEXTS, BYTES = 1000, 1 << 21
+TEXTS, BYTES = 1000, 1 << 22
 #: Weights travel in blocks of this many.
 BLOCK = 4096
 
@@ -134,20 +134,38 @@ class Lexicon(dict):
             self.kind[self[w]] = k
         self.base, self.further = len(self.words), {}
 
-    def _add(self, to: dict, words: list[bytes], logs: np.ndarray) -> None:
-        import xxhash
-
-        n = len(self.words)
-        to.update(zip(words, range(n, n + len(words))))
-        self.words += words
+    def _kinds(self, words: list[bytes]) -> list[int]:
+        """The ending classes of words."""
         ends = [w[-3:] for w in words]
         kinds = list(map(self.endings.get, ends))
         if None in kinds:
             if len(self.endings) > 100_000:
                 self.endings.clear()
             self.endings.update((e, SINGLE + _ending(e)) for e in set(ends))
-            kinds = map(self.endings.__getitem__, ends)
-        self.kind.extend(kinds)
+            kinds = list(map(self.endings.__getitem__, ends))
+        return kinds
+
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Classes, codes and logs (nan: to be joined) of words; what isn't common is worked out each time, which takes less than remembering it."""
+        import xxhash
+
+        found = np.array(list(map(self.get, words, repeat(-1))), np.int64)
+        kinds, codes, logs = self.classes(found), self.codes(found), self.logs(found)
+        rest = np.flatnonzero(found < 0)
+        if len(rest):
+            new = [words[i] for i in rest.tolist()]
+            kinds[rest] = self._kinds(new)
+            codes[rest] = np.fromiter(map(xxhash.xxh64_intdigest, new, repeat(42)), np.uint64, len(new))
+            logs[rest] = np.nan
+        return kinds, codes, logs
+
+    def _add(self, to: dict, words: list[bytes], logs: np.ndarray) -> None:
+        import xxhash
+
+        n = len(self.words)
+        to.update(zip(words, range(n, n + len(words))))
+        self.words += words
+        self.kind.extend(self._kinds(words))
         self.code.extend(map(xxhash.xxh64_intdigest, words, repeat(42)))
         self.log.frombytes(logs.tobytes())
 
@@ -302,8 +320,8 @@ class Hashed:
 def _streams(lexicon: Lexicon, texts: list[bytes]):
     """Texts laid end to end, in pieces of PIECE tokens at most: classes, codes, histories, features."""
     distinct, which, starts = laid(texts)
-    numbers = lexicon.numbers(distinct)
-    k, codes = lexicon.classes(numbers)[which], lexicon.codes(numbers)[which]
+    kinds, codes, _ = lexicon.look_up(distinct)
+    k, codes = kinds[which], codes[which]
     yield from _pieces(k, codes, histories(k, starts), features(codes, starts))
 
 
@@ -424,7 +442,7 @@ def _count_classes(shared):
         for batch in batches:
             for some in _slices(batch.column(0)):
                 distinct, which, starts = laid(some)
-                k = lexicon.classes(lexicon.numbers(distinct))[which]
+                k = lexicon.look_up(distinct)[0][which]
                 held.append(histories(k, starts) * CLASSES + k)
                 size += len(k)
                 if size > 2_000_000:
@@ -602,24 +620,22 @@ _ROWS = pa.schema([("key", pa.int64()), ("word", pa.binary()), ("k", pa.int64())
 
 
 def _parts(lexicon: Lexicon, table: np.ndarray, norms: np.ndarray, hashed: tuple | None, inner: np.ndarray | None):
-    """Texts to the numbers of their distinct tokens, which of them each token is, where texts begin, and the parts of their scores that aren't the tokens' own counts."""
+    """Texts to their distinct tokens, the logs of these, which of them each token is, where texts begin, and the parts of their scores that aren't the tokens' own counts."""
     norms, flat = np.log10(norms), table.ravel()
     model, inner = hashed and Hashed(*hashed), None if inner is None else np.log10(inner)
 
     def parts(texts):
         distinct, which, starts = laid(texts)
-        numbers = lexicon.numbers(distinct)
-        kinds = lexicon.classes(numbers)
+        kinds, codes, logs = lexicon.look_up(distinct)
         k = kinds[which]
         history = histories(k, starts)
         if model is None:
             each = flat[history * CLASSES + k].astype(np.float64) - norms[k]
         else:
-            codes = lexicon.codes(numbers)
             shares = np.where(kinds < SINGLE, norms[kinds], inner[np.maximum(kinds - SINGLE, 0), groups(codes)])
             codes = codes[which]
             each = np.concatenate([model.log10(*piece) for piece in _pieces(k, codes, history, features(codes, starts))]) - shares[which]
-        return numbers, which, starts, np.add.reduceat(each, starts)
+        return distinct, logs, which, starts, np.add.reduceat(each, starts)
 
     return parts
 
@@ -646,21 +662,20 @@ def _score(shared_lexicon, shared_table):
             for some in _slices(batch.column(1)):
                 ids = batch.column(0).slice(at, len(some)).to_pylist()
                 at += len(some)
-                numbers, which, starts, model = parts(some)
-                own = lexicon.logs(numbers)
+                distinct, own, which, starts, model = parts(some)
                 rare = np.isnan(own)
                 n = np.diff(np.append(starts, len(which)))
                 logs = np.add.reduceat(np.where(rare, 0, own)[which], starts)
                 place = np.flatnonzero(rare[which])
                 text = np.searchsorted(starts, place, "right") - 1
                 # each text's rare tokens, and how often it has them
-                pair, times = np.unique(text * len(numbers) + which[place], return_counts=True)
-                text, word = pair // len(numbers), numbers[pair % len(numbers)]
+                pair, times = np.unique(text * len(distinct) + which[place], return_counts=True)
+                text, word = pair // len(distinct), pair % len(distinct)
                 m = np.bincount(text, times, len(some)).astype(np.int64)
                 keys = key + np.arange(len(some))
                 key += len(some)
                 no, zero = [None] * len(pair), np.zeros(len(pair))
-                columns = (np.concatenate((keys, keys[text])), [b" %d" % x for x in keys.tolist()] + [lexicon.words[i] for i in word.tolist()], np.concatenate((np.zeros(len(some), np.int64), times)),
+                columns = (np.concatenate((keys, keys[text])), [b" %d" % x for x in keys.tolist()] + [distinct[i] for i in word.tolist()], np.concatenate((np.zeros(len(some), np.int64), times)),
                            ids + no, n.tolist() + no, np.concatenate((n - m, zero.astype(np.int64))), np.concatenate((logs, zero)), np.concatenate((model, zero)))
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _ROWS)], schema=_ROWS)
 
