@@ -5,12 +5,11 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-import pandas as pd
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.functions.session import ship_package
+from tidelog.functions.session import cut
 
 ORDER = ["segment_seq", "change_number"]
 
@@ -60,37 +59,45 @@ def insert_only(changes: DataFrame, keys: list[str], order: list[str] = ORDER) -
     return changes.groupBy(*keys).agg(F.min_by(F.struct(*values), F.struct(*order)).alias("_f")).select(*keys, "_f.*")
 
 
-def _fold(rows: pd.DataFrame, state: dict[tuple, int]) -> dict[tuple, int]:
-    for op, before, after in zip(rows["op"], rows["before"], rows["after"]):
-        old = None if before is None else tuple(before)
-        new = None if after is None else tuple(after)
-        if op == "INSERT":
-            state[new] = state.get(new, 0) + 1
-        elif old is not None and None not in old and old != new:  # = matches no null
-            moved = state.pop(old, 0)
-            if op == "UPDATE" and moved:
-                state[new] = state.get(new, 0) + moved
-    return state
-
-
 def bag_apply(changes: DataFrame, group: list[str], order: list[str] = ORDER) -> DataFrame:
     """group, image (array of text), copies after folding images without a key.
 
     An INSERT adds a copy; a DELETE takes all rows equal to its before image on every column, an
-    UPDATE moves them; an image with a null equals nothing. The fold depends on order within a
-    group only: a group is a device's table, and its part with one key where keys never change.
-    """
-    ship_package(changes.sparkSession)
-    types = dict(changes.dtypes)
-    schema = ", ".join([*(f"{g} {types[g]}" for g in group), "image array<string>", "copies bigint"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = _fold(pdf.sort_values(order, kind="stable"), {})
-        head = [pdf[g].iloc[0] for g in group]
-        return pd.DataFrame([[*head, list(image), n] for image, n in state.items() if n], columns=[*group, "image", "copies"])
+    UPDATE moves them; an image with a null equals nothing. Order matters within a group only, a
+    device's table; changes with the same order follow each other in an arbitrary, but fixed way.
 
-    needed = changes.select(*group, *[c for c in order if c not in group], "op", "before", "after")
-    return needed.groupBy(*group).applyInPandas(run, schema)
+    Nothing is folded one by one: what comes to an image stays until the next change that takes the
+    image away, found by a window, and goes on from there with all else that it took. These links
+    are doubled until each shows where it ends, so rounds grow with the logarithm of the longest
+    chain of updates; without any row that is inserted and taken away later there are none.
+    """
+    keys = list(dict.fromkeys([*group, *order]))
+    insert = F.col("op").eqNullSafe("INSERT")
+    takes = ~insert & F.col("before").isNotNull() & ~F.exists("before", lambda x: x.isNull()) & ~F.col("before").eqNullSafe(F.col("after"))
+
+    def at(image: str, kind: str):
+        return F.struct(F.col(image).cast("array<string>").alias("image"), F.lit(kind).alias("_kind"))
+
+    ends = F.array_compact(F.array(F.when(takes, at("before", "from")), F.when(insert, at("after", "new")).when(takes & (F.col("op") == "UPDATE"), at("after", "to"))))
+    rows = changes.select(*keys, F.xxhash64("op", "before", "after").alias("_h"), F.inline(ends))
+    change = F.struct(*keys, "_h")
+    latest_first = Window.partitionBy(*group, "image").orderBy(*(F.col(c).desc_nulls_first() for c in order), F.col("_h").desc())
+    taken = F.last(F.when(F.col("_kind") == "from", change), ignorenulls=True).over(latest_first.rowsBetween(Window.unboundedPreceding, 0))
+    comes = rows.withColumns({"_by": change, "_next": taken})
+
+    new = cut(comes.where("_kind = 'new'").groupBy(*group, "image", "_next").agg(F.count("*").alias("copies")))
+    stay, go = new.where("_next is null").drop("_next"), new.where("_next is not null")
+    if not go.isEmpty():
+        links = cut(comes.where("_kind = 'to'").select("_by", "_next", "image").distinct())
+        ended, on = links.where("_next is null"), links.where("_next is not null")
+        while not on.isEmpty():
+            further = ended.unionByName(on).select(F.col("_by").alias("_next"), F.col("_next").alias("_then"), "image")
+            links = cut(on.drop("image").join(further, "_next").select("_by", F.col("_then").alias("_next"), "image"))  # what a DELETE takes has no link
+            ended, on = ended.unionByName(links.where("_next is null")), links.where("_next is not null")
+        moved = go.drop("image").join(ended.select(F.col("_by").alias("_next"), "image"), "_next")
+        stay = stay.unionByName(moved.select(*group, "image", "copies")).groupBy(*group, "image").agg(F.sum("copies").alias("copies"))
+    image = F.coalesce("image", F.raise_error(F.lit("a row without an image")).cast("array<string>"))
+    return stay.select(*group, image.alias("image"), "copies")
 
 
 # A statement's tokens: text, blob, quoted names, numbers, words, and single marks.
