@@ -17,6 +17,26 @@ COMMIT = [*SEGMENT, "commit_id"]
 ORDER = ["segment_seq", "change_number"]
 
 
+#: Bytes of files to a task where dealt() deals rows out.
+TASK_BYTES = 8 << 20
+
+
+def dealt(*sides: tuple[DataFrame, list[str]]) -> list[DataFrame]:
+    """The sides of a join, each dealt by its keys to a task for every TASK_BYTES of the files they come from.
+
+    Spark raises a smaller count to spark.sql.shuffle.partitions in the join, but merges none.
+    Left to itself it merges partitions up to 64 MB as compressed; the rows of a log, much alike,
+    take 20 times that and more in a task's sorts and aggregates. Sides that give every core too
+    little for that, or of unknown size, stay as they are.
+    """
+    leaves = [x.apply(k) for df, _ in sides for x in [df._jdf.queryExecution().optimizedPlan().collectLeaves()] for k in range(x.size())]
+    size = sum(int(str(x.stats().sizeInBytes())) for x in leaves)
+    n = size // TASK_BYTES
+    if n <= sides[0][0].sparkSession.sparkContext.defaultParallelism or size >= 1 << 60:  # what Spark can't tell is 2^63 - 1
+        return [df for df, _ in sides]
+    return [df.repartition(n, *keys) for df, keys in sides]
+
+
 def _marker(sql: Column) -> Column:
     u = F.upper(F.regexp_replace(sql, r"^\s+", ""))
     return F.when(u.startswith("COMMIT"), "Commit").when(u.startswith("ROLLBACK"), "Rollback")
@@ -60,6 +80,7 @@ def expand_sidecars(log: DataFrame, sidecars: DataFrame) -> DataFrame:
     replay = F.trim("sql") == "REPLAY_TXN"
     inner = sidecars.select(*COMMIT, F.col("change_number").alias("ordinal"), F.col("sql").alias("inner_sql"), *[c for c in sidecars.columns if c in ("args", "arg_types")])
     outer = log.where(replay).drop("sql", *[c for c in inner.columns if c in ("args", "arg_types")])
+    outer, inner = dealt((outer, COMMIT), (inner, COMMIT))
     joined = outer.join(inner, COMMIT, "left")
     joined = joined.withColumn("sql", F.when(F.col("inner_sql").isNull(), F.raise_error(F.concat(F.lit("no sidecar for commit "), F.col("commit_id").cast("string")))).otherwise(F.col("inner_sql")))
     body = joined.where(~is_control(F.col("sql"))).drop("inner_sql")

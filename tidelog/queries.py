@@ -112,13 +112,14 @@ def max_committed_commit(spark, sf_dir):
 @query("""select 'dev' || (o_custkey % 4) as device_id, o_orderkey // 1000 as segment_seq, o_orderkey as commit_id, (o_orderkey % 1000) * 10 as change_number, l_linenumber as ordinal,
  'INSERT INTO items VALUES(' || l_partkey || ')' as sql, count(*) as n from orders join lineitem on l_orderkey = o_orderkey group by all""")
 def sidecar_expand(spark, sf_dir):
-    orders = read(spark, sf_dir, "orders")
+    orders, lines = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    dealt, lines = L.dealt((orders, ["o_orderkey"]), (lines, ["l_orderkey"]))
     at = [F.concat(F.lit("dev"), (F.col("o_custkey") % 4).cast("string")).alias("device_id"), F.floor(F.col("o_orderkey") / 1000).alias("segment_seq"), F.col("o_orderkey").alias("commit_id")]
-    items = read(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    inner = items.select(*at, F.col("l_linenumber").alias("change_number"), F.concat(F.lit("INSERT INTO items VALUES("), F.col("l_partkey").cast("string"), F.lit(")")).alias("sql"))
-    control = inner.select("device_id", "segment_seq", "commit_id").distinct()
+    same = F.col("l_orderkey") == F.col("o_orderkey")
+    inner = lines.join(dealt, same).select(*at, F.col("l_linenumber").alias("change_number"), F.concat(F.lit("INSERT INTO items VALUES("), F.col("l_partkey").cast("string"), F.lit(")")).alias("sql"))
+    control = orders.join(lines, same, "left_semi").select(*at).where("device_id is not null")  # a join by device meets no null
     inner = inner.unionByName(control.select("*", F.lit(0).alias("change_number"), F.lit("BEGIN").alias("sql")))
-    outer = orders.select(*at, ((F.col("o_orderkey") % 1000) * 10).alias("change_number"), F.lit("REPLAY_TXN").alias("sql")).join(control, L.COMMIT, "left_semi")
+    outer = control.select("*", ((F.col("commit_id") % 1000) * 10).alias("change_number"), F.lit("REPLAY_TXN").alias("sql"))
     return L.expand_sidecars(outer, inner).groupBy("device_id", "segment_seq", "commit_id", "change_number", "ordinal", "sql").agg(F.count("*").alias("n"))
 
 
